@@ -10,14 +10,13 @@ k ln k + 2k darts fill a signature, however large the set.
 
 ``rows`` coordinates make a band; equal bands put texts into one bucket. A pair
 of similarity s meets in a bucket with probability 1 - (1 - s^rows)^bands, which
-is 0.99995 at 0.8 for the defaults. Within buckets all links are found without
-forming all pairs: each text is compared with the bucket's hub. Texts at a
-distance d > 0.2 from the hub stay for the next round with a new hub; as the
-Jaccard distance is a metric, they can only be linked to texts that left with
-the hub if d <= 0.4, and then only to those at d - 0.2 or more from it; these
-few pairs are compared too. Once eight or fewer texts stay, they are compared
-one by one. So no partner is capped and no link between texts that share a
-bucket is lost. Links are turned into classes by star contraction.
+is 0.99995 at 0.8 for the defaults. Within buckets all links that matter to the
+classes are found without forming all pairs. First each text is compared with
+its bucket's hub, and links make components; where components meet in a bucket,
+this is done once more with a random hub. Then, among the texts of buckets that
+hold several components, pairs of different components that share one of their
+rarest elements are compared; by the prefix filter that misses no link. So no
+partner is capped. Components come from star contraction.
 
 Results for odd input: equal texts form one class, null and empty texts too;
 texts of fewer than five words have one shingle, all their words; a null doc_id
@@ -40,8 +39,6 @@ from quarry.llm.common import keep, map_arrow, text_id
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-#: Texts that stay in a bucket are compared one by one when there are so many or fewer.
-FEW = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -192,37 +189,76 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", (both / (F.size("ea") + F.size("eb") - both)).alias("sim"))
 
 
-def links(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All links (a, b) between texts that share a bucket. ``buckets``: (key, node), two nodes or more a key."""
-    far, out, members = 1 - similarity, [], buckets
-    pick = lambda s: s.where(F.col("sim") >= similarity).select("a", "b")
-    while True:
-        groups = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-        members = keep(members.join(groups.where("n > 1"), "key"))
-        if members.isEmpty():
-            break
-        small = members.where(F.col("n") <= FEW)
-        each = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
-        out.append(pick(similarities(each.select("a", "b").distinct(), sets)))
-        large = members.where(F.col("n") > FEW)
-        if large.isEmpty():
+def spokes(buckets: DataFrame) -> DataFrame:
+    """(a, b): each text of a bucket with the bucket's hub, that with the most company in all its buckets.
+
+    The middle of a group of near copies shares more buckets than its rim, so it
+    becomes the hub of nearly all the group's buckets.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    company = buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"))
+    return _star(buckets.join(company, "node"), F.struct("company", "node"), F.lit(True))
+
+
+def random_spokes(open_buckets: DataFrame) -> DataFrame:
+    """(a, b): texts of a bucket with a hub drawn for the bucket, where their components differ."""
+    return _star(open_buckets, F.struct(F.xxhash64("key", "node"), "node", "component"), F.col("component") != F.col("top.component"))
+
+
+def _star(ranked: DataFrame, rank, told) -> DataFrame:
+    hubs = ranked.groupBy("key").agg(F.max(rank).alias("top"))
+    pairs = ranked.join(hubs, "key").where((F.col("node") != F.col("top.node")) & told)
+    return pairs.select(F.least("top.node", "node").alias("a"), F.greatest("top.node", "node").alias("b")).distinct()
+
+
+def open_ends(buckets: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, node, component) of the buckets that hold several components."""
+    labelled = buckets.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+    return labelled.join(several, "key").select("key", "node", "component")
+
+
+def rest_pairs(open_buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different components in buckets that hold several, by prefix filtering.
+
+    Two sets of n and m elements and a similarity of s or more have an overlap
+    of o = ceil(s (n + m) / (1 + s)) or more, so one element is among the n - o + 1 rarest
+    of the one and the m - o + 1 rarest of the other: no link is missed. Elements
+    that only one component has are left out, and pairs are formed between the members of the element's
+    smaller components and all others, never inside its largest component.
+    """
+    open_nodes = open_buckets.select("node", "component").distinct()
+    held = open_nodes.join(sets, "node").select("node", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    df = held.groupBy("element").agg(F.count("*").alias("df"))
+    rare = held.join(df, "element").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
+    reach = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    prefix = rare.select("node", "component", "n", F.posexplode(F.slice("e", 1, reach)).alias("at", "e"))
+    prefix = keep(prefix.where("e.df > 1").select("node", "component", "n", "at", F.col("e.element").alias("element")))
+    shares = prefix.groupBy("element", "component").agg(F.count("*").alias("m"))
+    largest = shares.groupBy("element").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("components"))
+    told = prefix.join(largest.where("components > 1"), "element")
+    side = lambda df, i: df.select("element", *[F.col(c).alias(c + i) for c in ("node", "component", "n", "at")])
+    left, right = side(told.where("component <> largest"), "x"), side(told, "y")
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * similarity / (1 + similarity) - 1e-9)
+    met = (left["element"] == right["element"]) & (F.col("componentx") != F.col("componenty"))
+    met = met & (F.col("nx") - F.col("atx") >= overlap) & (F.col("ny") - F.col("aty") >= overlap)
+    return left.join(right, met).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+
+
+def classes(buckets: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the linked texts among ``buckets``: (key, node), two nodes or more a key."""
+    linked = lambda pairs: keep(similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b"))
+    found = linked(spokes(buckets))
+    named = components(found)
+    for pairs in (random_spokes, lambda left: rest_pairs(left, sets, similarity)):
+        left = keep(open_ends(buckets, named))
+        if left.isEmpty():
             break
-        spokes = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        known = keep(similarities(spokes.distinct(), sets))
-        out.append(pick(known))
-        told = keep(large.where("node <> hub").join(known, (F.col("hub") == F.col("a")) & (F.col("node") == F.col("b"))).select("key", "node", (1 - F.col("sim")).alias("d")))
-        stay = told.where(F.col("d") > far + 1e-9)
-        # texts that stay, against those that left with the hub and may still be near enough
-        fringe = stay.where(F.col("d") <= 2 * far + 1e-9).select("key", F.col("node").alias("a"), F.col("d").alias("da"))
-        gone = told.where(F.col("d") <= far + 1e-9).select("key", F.col("node").alias("b"), F.col("d").alias("db"))
-        cross = fringe.join(gone, "key").where(F.col("db") >= F.col("da") - far - 1e-9).select("a", "b").distinct()
-        out.append(pick(similarities(cross, sets)))
-        members = stay.select("key", "node")
-    spark = buckets.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    for part in out:
-        found = found.unionByName(part)
-    return found.distinct()
+        more = linked(pairs(left))
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            named = components(found)
+    return named
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,20 +315,20 @@ def near_duplicates(
     shared = buckets.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     buckets = keep(buckets.join(shared, "key"))
     sets = keep(element_sets(docs, buckets.select("node").distinct(), **options))
-    found = components(links(buckets, sets, similarity))
+    found = classes(buckets, sets, similarity)
     owners = sigs.groupBy("node").agg(F.min("doc_id").alias("_least"))
     named = owners.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("_least").alias("class_id"))
-    classes = named.join(least, "component").select("node", "class_id", "component")
-    return sigs.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id", "component")
+    told = named.join(least, "component").select("node", "class_id", "component")
+    return sigs.select("doc_id", "node").join(told, "node").select("doc_id", "node", "class_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, columns unchanged: that with the least doc_id (of equals, any one)."""
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    told = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("node").alias("t"))
-    first = classes.groupBy("component").agg(F.min(order).alias("_k"))
-    counts = classes.groupBy("doc_id", "node").agg(F.count("*").alias("_copies"))
+    first = told.groupBy("component").agg(F.min(order).alias("_k"))
+    counts = told.groupBy("doc_id", "node").agg(F.count("*").alias("_copies"))
     chosen = first.select(F.col("_k.i").alias("doc_id"), F.col("_k.t").alias("node"))
     chosen = chosen.join(counts, chosen["doc_id"].eqNullSafe(counts["doc_id"]) & (chosen["node"] == counts["node"])).select(
         chosen["doc_id"].alias("_id"), chosen["node"].alias("_node"), "_copies"

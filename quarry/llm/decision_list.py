@@ -85,16 +85,19 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     row = docs.withColumn("_words", words_array(F.col(text_col))).withColumn("_lines", lines)
-    stats = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        without("!?").cast("long").alias("n_marks"),
+    stats = (
+        F.size("_words").cast("long"),
+        F.length(F.translate(text, BLANKS, "")).cast("long"),
+        without(SYMBOLS).cast("long"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        repeated_words(F.col("_words")),
+        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
+        without("!?").cast("long"),
     )
-    return row.withColumn("_stats", stats).drop("_words", "_lines")
+    # columns first and a struct of them after: the optimizer inlines fields of a struct, not shared columns
+    columns = {f"_stat_{name}": value for name, value in zip(COUNTS, stats)}
+    out = row.withColumns(columns).withColumn("_stats", F.struct(*[F.col(c).alias(n) for n, c in zip(COUNTS, columns)]))
+    return out.drop("_words", "_lines", *columns)
 
 
 def features(stats: Column) -> dict[str, Column]:
@@ -152,9 +155,10 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str,
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         F.broadcast(chosen), F.col("_id") == F.col("_label_id")
     )
-    stats = measure(found, "_text").where(~base_failed(F.col("_stats")))
-    feats = features(F.col("_stats"))
-    return stats.select("bad", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(3)) == 0).alias("held"), *[c.alias(n) for n, c in feats.items()])
+    held = (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(3)) == 0).alias("held")
+    # written before the features use them, or the optimizer would inline the statistics into each
+    stats = keep(measure(found, "_text").select("bad", held, "_stats")).where(~base_failed(F.col("_stats")))
+    return stats.select("bad", "held", *[c.alias(n) for n, c in features(F.col("_stats")).items()])
 
 
 def learn(
@@ -173,8 +177,6 @@ def learn(
     """Learn an ordered list of rejecting rules from labelled documents."""
     rows = labelled(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     names = list(features(F.col("_stats")))
-    # one pass over the texts; what is kept are at most max_labelled rows of numbers
-    rows = keep(rows.coalesce(8))
     shares = [i / (bins + 1) for i in range(1, bins + 1)]
     quantiles = rows.groupBy("bad").agg(*[F.percentile(n, F.array(*[F.lit(s) for s in shares])).alias(n) for n in names]).collect()
     cuts = {n: sorted({x for q in quantiles for x in q[n]}) for n in names}

@@ -1,0 +1,338 @@
+r"""Personal data: fixed patterns, and spans from a linear-chain conditional random field.
+
+The patterns give the base spans. The CRF labels words (runs between blanks) by
+features of their shapes and of their neighbours' and adds spans of its kinds:
+secrets, national phone and identity numbers, and spelt-out e-mail addresses. It is
+trained on the driver from a small labelled table by maximum likelihood
+(forward-backward over padded numpy batches) and decoded by Viterbi in numpy
+batches. A word whose margin for "no label" exceeds twice the spread of the
+transition scores has that label on every best path, so sequences are cut there and
+only the rest is decoded; that is exact.
+
+Results for odd input: null texts are empty; texts without spans get the digest
+of the empty string; an added span never overlaps a base span, which stays;
+offsets are code points with exclusive ends; repeated rows get equal results; an
+empty table gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import WORD, map_arrow
+
+BASE = ("email", "ip", "card", "phone")
+#: Labels of the CRF; the first is "no label".
+LABELS = ("-", "secret", "phone", "id", "email")
+
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+# possessive and at the start of a run of digits: the same matches, in linear time
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) by the fixed patterns, ordered by start and kind."""
+    out: list[tuple[int, int, int]] = []
+    at, last = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        found = _DOMAIN.match(text, at) if start < at else None
+        if found:
+            out.append((start, 0, found.end()))
+            last = found.end()
+        else:
+            last = max(last, at)
+        at = text.find("@", at + 1)
+    if _DIGIT.search(text):
+        if "." in text:
+            for m in _IP.finditer(text):
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                    out.append((m.start(), 1, m.end()))
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 14:
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 14 <= len(digits) <= 19 and luhn(digits):
+                    out.append((m.start(), 2, m.end()))
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+                    out.append((m.start(), 3, m.end()))
+    return [(s, e, BASE[k]) for s, k, e in sorted(out)]
+
+
+#: Words whose identity is a feature; other words are seen by shape only. Fixed values.
+CUES = frozenset("token key secret password passwd api_key apikey auth = : tel tel. phone call fax ssn iban id passport no. at dot (at) (dot) [at] [dot] mail email".split())
+
+
+def shape(word: str) -> str:
+    """Letters, digits and other characters by class; runs are collapsed."""
+    out: list[str] = []
+    for c in word[:80]:
+        k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
+        if not out or out[-1] != k:
+            out.append(k)
+    s = "".join(out)
+    return re.sub(r"(?:9a|a9|9A|A9){3,}", "~", s)[:12]
+
+
+@lru_cache(maxsize=200_000)
+def word_features(word: str) -> tuple[str, ...]:
+    core = word.strip("\"'.,;:!?()[]{}<>*#%$&|")
+    digits = sum(c.isdigit() for c in core)
+    kind = "num" if digits == len(core) and core else "mix" if digits and re.search(r"[A-Za-z]", core) else "sep" if digits else "word"
+    hexy = bool(re.fullmatch(r"[0-9a-fA-F]{16,}", core)) and 0 < digits < len(core)
+    out = [f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kind}", f"k:{kind}:{min(len(core), 40) // 4}", f"q:{word[:1] in chr(34) + chr(39)}{kind}"]
+    out += [f"d:{min(digits, 16)}{kind}"] if digits else []
+    out += ["hex"] if hexy else []
+    out += [f"w:{word.lower()}"] if word.lower().strip(",;") in CUES else []
+    return tuple(out)
+
+
+OFFSETS = (-2, -1, 0, 1)
+
+
+def labelled_table(n: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
+    """The small labelled table: sentences of (word, label), dealt from templates by a seeded generator."""
+    r = random.Random(seed)
+    pick = r.choice
+    filler = "the of and to in for on with that this by from are was not over more than when here about people water house value the report Die der und les des para con una".split()
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+    hexes = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+    mixed = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=k))
+    noise = lambda w: w + pick(["", "", "", ",", ".", "###", "!!"])
+
+    def entity() -> list[tuple[str, str]]:
+        return pick(
+            [
+                lambda: [(pick(["token", "api_key", "secret", "key", "password"]), "-"), (pick(["=", ":", "="]), "-"), (noise(f'"{hexes(pick([32, 40, 40, 64]))}"'), "secret")],
+                lambda: [(pick(["token", "api_key", "secret"]), "-"), ("=", "-"), (noise(f'"{mixed(pick([24, 32, 40]))}"'), "secret")],
+                lambda: [(pick(["tel", "tel.", "phone", "call", "fax"]), "-"), (f"({digits(3)})", "phone"), (noise(f"{digits(3)}-{digits(4)}"), "phone")],
+                lambda: [(pick(["ssn", "SSN", "id"]), "-"), (noise(f"{digits(3)}-{digits(2)}-{digits(4)}"), "id")],
+                lambda: [(pick(["mail", "email"]), "-"), (pick(filler), "email"), (pick(["(at)", "[at]"]), "email"), (pick(filler), "email"), (pick(["(dot)", "[dot]"]), "email"), (pick(["com", "org", "net"]), "email")],
+                # what looks alike and is not personal, or belongs to the fixed patterns
+                lambda: [(noise(digits(16)), "-")],
+                lambda: [(noise(digits(pick([1, 2, 3, 4, 6]))), "-")],
+                lambda: [("+1", "-"), (f"({digits(3)})", "-"), (noise(f"{digits(3)}-{digits(4)}"), "-")],
+                lambda: [(noise(f"{pick(filler)}.{digits(2)}@mail{digits(1)}.example.com"), "-")],
+                lambda: [(noise(".".join(digits(2) for _ in range(4))), "-")],
+                lambda: [("is", "-"), (pick(["token", "key", "secret", "phone", "id", "="]), "-"), (pick(filler), "-")],
+                lambda: [(f"{digits(4)}-{digits(2)}-{digits(2)}", "-")],
+                lambda: [(pick(filler).upper() + "!!", "-"), ("|", "-"), (pick(filler) + "***", "-")],
+                lambda: [("at", "-"), (pick(filler), "-"), ("dot", "-")],
+            ]
+        )()
+
+    out = []
+    for _ in range(n):
+        words = lambda: [(noise(pick(filler)), "-") for _ in range(r.randint(2, 5))]
+        out.append(words() + entity() + words())
+    return out
+
+
+class Crf:
+    """Linear-chain CRF; ``weights`` maps a feature at an offset to a score for each label."""
+
+    def __init__(self, weights: dict[tuple[int, str], np.ndarray], moves: np.ndarray):
+        self.weights, self.moves = weights, moves
+        self.slack = 2 * float(moves.max() - moves.min())
+        self.rows: dict[bytes, int] = {b"": 0}
+        self.scores = np.zeros((1 << 12, len(OFFSETS), len(LABELS)), np.float32)
+
+    @classmethod
+    def train(cls, table: list[list[tuple[str, str]]], steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Crf:
+        n, length, tags = len(table), max(map(len, table)), len(LABELS)
+        index: dict[tuple[int, str], int] = {}
+        rows, cols = [], []
+        gold, live = np.zeros((n, length), int), np.zeros((n, length), bool)
+        for i, sentence in enumerate(table):
+            for t, (_, label) in enumerate(sentence):
+                gold[i, t], live[i, t] = LABELS.index(label), True
+                for o in OFFSETS:
+                    if 0 <= t + o < len(sentence):
+                        for f in word_features(sentence[t + o][0]):
+                            rows.append(i * length + t)
+                            cols.append(index.setdefault((o, f), len(index)))
+        x = np.zeros((n * length, len(index)), np.float32)
+        x[rows, cols] = 1
+        hot = np.eye(tags)[gold] * live[..., None]
+        pairs = live[:, 1:, None, None] * np.eye(tags)[gold[:, :-1]][..., None] * np.eye(tags)[gold[:, 1:]][:, :, None, :]
+        w, moves = np.zeros((len(index), tags)), np.zeros((tags, tags))
+        sw, sm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
+        log_sum = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
+        for _ in range(steps):
+            e = (x @ w).reshape(n, length, tags)
+            fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+            fwd[:, 0] = e[:, 0]
+            for t in range(1, length):
+                step = log_sum(fwd[:, t - 1, :, None] + moves, 1) + e[:, t]
+                fwd[:, t] = np.where(live[:, t, None], step, fwd[:, t - 1])
+            for t in range(length - 2, -1, -1):
+                step = log_sum(moves + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
+                bwd[:, t] = np.where(live[:, t + 1, None], step, 0)
+            z = log_sum(fwd[:, -1], 1)
+            p = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
+            q = np.exp(fwd[:, :-1, :, None] + moves + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
+            gw = x.T @ (hot - p).reshape(n * length, tags) / n - decay * w
+            gm = (pairs - q).sum(axis=(0, 1)) / n - decay * moves
+            sw, sm = sw + gw**2, sm + gm**2
+            w, moves = w + rate * gw / np.sqrt(sw), moves + rate * gm / np.sqrt(sm)
+        return cls({k: w[i] for k, i in index.items()}, moves)
+
+    def row(self, word: bytes) -> int:
+        """The row of ``scores`` that holds a word's emission scores at each offset."""
+        if len(self.rows) >= 300_000:
+            self.rows = {b"": 0}
+        at = self.rows[word] = len(self.rows)
+        if at >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        features = word_features(word[:400].decode("utf-8", "replace"))
+        for j, o in enumerate(OFFSETS):
+            self.scores[at, j] = sum((self.weights[o, f] for f in features if (o, f) in self.weights), np.zeros(len(LABELS)))
+        return at
+
+    def emissions(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Scores of all words of all texts, with two empty words between texts."""
+        get, rows = self.rows.get, []
+        for words in texts:
+            if len(self.rows) + len(words) >= 300_000:
+                break
+            own = [get(w) for w in words]
+            if None in own:
+                own = [self.rows[w] if w in self.rows else self.row(w) for w in words]
+            rows += own
+            rows += (0, 0)
+        else:
+            at = np.array([0, 0, *rows, 0], np.int64)
+            n = len(rows)
+            return sum(self.scores[at[2 + o : 2 + o + n], j] for j, o in enumerate(OFFSETS))
+        # too many distinct words to remember: start anew, and go text by text if need be
+        self.rows = {b"": 0}
+        if len(texts) > 1:
+            return np.concatenate([self.emissions([t]) for t in texts])
+        parts, words = [], texts[0]
+        for i in range(0, len(words), 100_000):
+            self.rows = {b"": 0}
+            low, high = max(0, i - 2), min(len(words), i + 100_001)
+            parts.append(self.emissions([words[low:high]])[i - low : i - low + min(100_000, len(words) - i)])
+        return np.concatenate([*parts, np.zeros((2, len(LABELS)))]) if parts else np.zeros((2, len(LABELS)))
+
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """The best label of each word, 0 where none; sequences are cut at certain words."""
+        out = np.zeros(len(e), np.int8)
+        open_words = np.flatnonzero(e[:, 0] - e[:, 1:].max(axis=1) <= self.slack)
+        if not len(open_words):
+            return out
+        cuts = np.flatnonzero(np.diff(open_words) > 1) + 1
+        runs = np.split(open_words, cuts)
+        by_length: dict[int, list[np.ndarray]] = {}
+        for run in runs:
+            by_length.setdefault(len(run), []).append(run)
+        for length, group in by_length.items():
+            at = np.array(group)
+            s = e[at]
+            best, back = self.moves[0] + s[:, 0], []
+            for t in range(1, length):
+                step = best[:, :, None] + self.moves
+                back.append(step.argmax(axis=1))
+                best = step.max(axis=1) + s[:, t]
+            label = (best + self.moves[:, 0]).argmax(axis=1)
+            out[at[:, -1]] = label
+            for t in range(length - 2, -1, -1):
+                label = back[t][np.arange(len(group)), label]
+                out[at[:, t]] = label
+        return out
+
+
+@lru_cache(maxsize=1)
+def trained() -> Crf:
+    return Crf.train(labelled_table())
+
+
+def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of the CRF: runs of one label, trimmed of punctuation, apart from base spans."""
+    last, out = int(np.flatnonzero(labels)[-1]), []
+    for i, m in enumerate(re.finditer(WORD, text)):
+        if i > last:
+            break
+        if labels[i]:
+            kind = LABELS[labels[i]]
+            trim = "\"'.,;:!?*#%$&|[]{}<>" if kind != "phone" else "\"'.,;:!?*#%$&|"
+            start, end = m.start() + len(m[0]) - len(m[0].lstrip(trim)), m.end() - len(m[0]) + len(m[0].rstrip(trim))
+            if start >= end:
+                continue
+            if i and labels[i - 1] == labels[i] and out and out[-1][2] == kind:
+                out[-1] = (out[-1][0], end, kind)
+            else:
+                out.append((start, end, kind))
+    return [s for s in out if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+
+
+def spans_text(spans: list[tuple[int, int, str]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
+    """(doc_id, base, added): lists of spans (start, end, kind) of every row."""
+    model = crf or trained()
+    weights, moves = model.weights, model.moves
+    held: dict[str, Crf] = {}
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if "crf" not in held:
+            held["crf"] = Crf(weights, moves)
+        crf = held["crf"]
+        words = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in batch.column(1)]
+        labels = crf.decode(crf.emissions(words))
+        bases, added, at = [], [], 0
+        for text, w in zip(batch.column(1).to_pylist(), words):
+            own = labels[at : at + len(w)]
+            at += len(w) + 2
+            base = base_spans(text or "")
+            bases.append([dict(zip(("start", "end", "kind"), s)) for s in base])
+            more = added_spans(text, own, base) if own.any() else []
+            added.append([dict(zip(("start", "end", "kind"), s)) for s in more])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kind), pa.array(added, kind)], names=["doc_id", "base", "added"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    span = "array<struct<start: long, end: long, kind: string>>"
+    return map_arrow(rows, work, f"doc_id {docs.schema[id_col].dataType.simpleString()}, base {span}, added {span}")
+
+
+def op10_crf_pii(docs: DataFrame) -> DataFrame:
+    out = find(docs)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    # an added span starts inside no base span, so starts tell all spans apart but for base spans of two kinds
+    order = lambda s: F.struct(s["start"], F.array_position(F.lit([*BASE, *LABELS[1:]]), s["kind"]).alias("k"), s["end"], s["kind"])
+    every = F.array_sort(F.transform(F.concat("base", "added"), order))
+    return out.select(
+        "doc_id", *map(count, BASE), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans")
+    )
+
+
+def digest(spans: list[tuple[int, int, str]]) -> str:
+    return hashlib.sha256(spans_text(spans).encode()).hexdigest()

@@ -23,6 +23,7 @@ results; an empty documents table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,12 +166,12 @@ def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: s
     for row in rows.toLocalIterator():
         length = 2 * len(row["text"] or "")
         if block and size + length > block_bytes:
-            yield spark.sparkContext.broadcast((id(block), block))
+            yield spark.sparkContext.broadcast((uuid.uuid4().hex, block))
             block, size, none = [], 0, False
         block.append((row["item"], row["text"]))
         size += length
     if block or none:
-        yield spark.sparkContext.broadcast((id(block), block))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
 def _scan(batches, block, n: int, carried: list[str]):
@@ -245,7 +246,7 @@ def mark(
     )
     joined = joined.withColumn("hit_runs", F.coalesce(merged, F.array().cast("array<long>")))
     length = F.aggregate(
-        F.sequence(F.lit(0), F.size("hit_runs") / 2 - 1), F.lit(0).cast("long"),
+        F.sequence(F.lit(0), (F.size("hit_runs") / 2).cast("int") - 1), F.lit(0).cast("long"),
         lambda acc, i: acc + F.get("hit_runs", (2 * i + 1).cast("int")) - F.get("hit_runs", (2 * i).cast("int")),
     )
     joined = joined.withColumn("n_hit", F.when(F.size("hit_runs") > 0, length).otherwise(F.lit(0).cast("long")))
@@ -301,7 +302,7 @@ def search_index(spark: SparkSession, path: str, phrases: list[list[str]]) -> Da
         order = sorted(range(len(phrase)), key=lambda k: (df.get(phrase[k], 0), k))
         hits = None
         for k in order:
-            part = index.where(F.col("term") == phrase[k]).select("doc_id", (F.explode("positions") - k).alias("start"))
+            part = index.where(F.col("term") == phrase[k]).select("doc_id", F.explode("positions").alias("p")).select("doc_id", (F.col("p") - k).alias("start"))
             hits = part if hits is None else hits.join(part, ["doc_id", "start"], "left_semi")
         hits = hits.select(F.lit(at).alias("phrase"), "doc_id", "start")
         out = hits if out is None else out.unionByName(hits)

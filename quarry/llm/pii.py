@@ -87,24 +87,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 CUES = frozenset("token key secret password passwd api_key apikey auth = : tel tel. phone call fax ssn iban id passport no. at dot (at) (dot) [at] [dot] mail email".split())
 
 
+CUE_BYTES = frozenset(c.encode() for c in CUES)
+#: Punctuation around a word that is no part of its core.
+EDGE = b"\"'.,;:!?()[]{}<>*#%$&|"
+#: Bytes by class: a (letters, and all of non-ASCII characters), A, 9, or themselves.
+CLASS = bytes(
+    0x39 if 0x30 <= b <= 0x39 else 0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else b for b in range(256)
+)
+RUN = re.compile(rb"(.)\1+", re.S)
+
+
 def shape(word: str) -> str:
-    """Letters, digits and other characters by class; runs are collapsed."""
-    out: list[str] = []
-    for c in word[:80]:
-        k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    s = "".join(out)
+    """Bytes by class; runs are collapsed."""
+    s = RUN.sub(rb"\1", word[:80].encode().translate(CLASS)).decode()
     return re.sub(r"(?:9a|a9|9A|A9){3,}", "~", s)[:12]
 
 
-@lru_cache(maxsize=200_000)
 def word_features(word: str) -> tuple[str, ...]:
-    core = word.strip("\"'.,;:!?()[]{}<>*#%$&|")
+    core = word.strip(EDGE.decode())
     digits = sum(c.isdigit() for c in core)
     kind = "num" if digits == len(core) and core else "mix" if digits and re.search(r"[A-Za-z]", core) else "sep" if digits else "word"
     hexy = bool(re.fullmatch(r"[0-9a-fA-F]{16,}", core)) and 0 < digits < len(core)
-    out = [f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kind}", f"k:{kind}:{min(len(core), 40) // 4}", f"q:{word[:1] in chr(34) + chr(39)}{kind}"]
+    out = [f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kind}", f"k:{kind}:{min(len(core.encode()), 40) // 4}", f"q:{word[:1] in chr(34) + chr(39)}{kind}"]
     out += [f"d:{min(digits, 16)}{kind}"] if digits else []
     out += ["hex"] if hexy else []
     out += [f"w:{word.lower()}"] if word.lower().strip(",;") in CUES else []
@@ -158,8 +162,14 @@ class Crf:
     def __init__(self, weights: dict[tuple[int, str], np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         self.slack = 2 * float(moves.max() - moves.min())
+        self.forget()
+
+    def forget(self) -> None:
+        """Row 0 of ``scores`` is that of no word; ``kinds`` are rows of words that only their shape tells."""
         self.rows: dict[bytes, int] = {b"": 0}
+        self.kinds: dict[tuple[bytes, int], int] = {}
         self.scores = np.zeros((1 << 12, len(OFFSETS), len(LABELS)), np.float32)
+        self.used = 1
 
     @classmethod
     def train(cls, table: list[list[tuple[str, str]]], steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Crf:
@@ -202,10 +212,22 @@ class Crf:
         return cls({k: w[i] for k, i in index.items()}, moves)
 
     def row(self, word: bytes) -> int:
-        """The row of ``scores`` that holds a word's emission scores at each offset."""
-        if len(self.rows) >= 300_000:
-            self.rows = {b"": 0}
-        at = self.rows[word] = len(self.rows)
+        """The row of ``scores`` that holds a word's emission scores at each offset.
+
+        Words without digits that are no cues share the row of their shape and length.
+        """
+        shaped = word[:400].translate(CLASS)
+        kind = None
+        if b"9" not in shaped and word.lower().strip(b",;") not in CUE_BYTES:
+            kind = (RUN.sub(rb"\1", shaped[:80]), len(word[:400].strip(EDGE)), word[:1])
+            kind = (kind[0], min(kind[1], 40) // 4, kind[2] if kind[2] in (b'"', b"'") else b"")
+            if kind in self.kinds:
+                at = self.rows[word] = self.kinds[kind]
+                return at
+        at = self.rows[word] = self.used
+        self.used += 1
+        if kind:
+            self.kinds[kind] = at
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         features = word_features(word[:400].decode("utf-8", "replace"))
@@ -214,30 +236,19 @@ class Crf:
         return at
 
     def emissions(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Scores of all words of all texts, with two empty words between texts."""
-        get, rows = self.rows.get, []
+        """Scores of all words of all texts, with two empty words after each text."""
+        if self.used > 200_000 or len(self.rows) > 1_000_000:
+            self.forget()
+        get, row, rows = self.rows.get, self.row, [0, 0]
         for words in texts:
-            if len(self.rows) + len(words) >= 300_000:
-                break
-            own = [get(w) for w in words]
+            own = list(map(get, words))
             if None in own:
-                own = [self.rows[w] if w in self.rows else self.row(w) for w in words]
+                own = [row(w) if i is None else i for i, w in zip(own, words)]
             rows += own
             rows += (0, 0)
-        else:
-            at = np.array([0, 0, *rows, 0], np.int64)
-            n = len(rows)
-            return sum(self.scores[at[2 + o : 2 + o + n], j] for j, o in enumerate(OFFSETS))
-        # too many distinct words to remember: start anew, and go text by text if need be
-        self.rows = {b"": 0}
-        if len(texts) > 1:
-            return np.concatenate([self.emissions([t]) for t in texts])
-        parts, words = [], texts[0]
-        for i in range(0, len(words), 100_000):
-            self.rows = {b"": 0}
-            low, high = max(0, i - 2), min(len(words), i + 100_001)
-            parts.append(self.emissions([words[low:high]])[i - low : i - low + min(100_000, len(words) - i)])
-        return np.concatenate([*parts, np.zeros((2, len(LABELS)))]) if parts else np.zeros((2, len(LABELS)))
+        n = len(rows) - 2
+        at = np.array([*rows, 0], np.int64)
+        return sum(self.scores[at[2 + o : 2 + o + n], j] for j, o in enumerate(OFFSETS))
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The best label of each word, 0 where none; sequences are cut at certain words."""

@@ -195,7 +195,7 @@ def chained(anchors: DataFrame) -> DataFrame:
         cols = np.array(lists, np.int32).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ref[at]), *[pa.array(cols[:, j]) for j in range(4)]], names=["node", "ref", "a", "a_end", "b", "b_end"])
 
-    grouped = anchors.groupBy("node", "ref").agg(F.collect_list(F.struct("at", "ref_at")).alias("pairs")).where(F.size("pairs") > 1)
+    grouped = anchors.groupBy("node", "ref").agg(F.collect_set(F.struct("at", "ref_at")).alias("pairs")).where(F.size("pairs") > 1)
     return map_arrow(grouped, work, "node long, ref long, a int, a_end int, b int, b_end int")
 
 
@@ -208,7 +208,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Ends are exclusive; places count words. ``equal`` is the number of aligned equal words.
     """
-    held = keep(seeds(docs, text_col=text_col).distinct())
+    held = keep(seeds(docs, text_col=text_col))
     first = held.groupBy("seed").agg(F.min(F.struct("node", "at")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
     first = first.where("low <> high").select("seed", F.col("first.node").alias("ref"), F.col("first.at").alias("ref_at"))
     anchors = held.join(first, "seed").where("node <> ref").select("node", "ref", "at", "ref_at")
@@ -219,7 +219,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     asked = sides.select("text_node").distinct()
     texts = docs.select(text_id(F.col(text_col)).alias("text_node"), F.col(text_col).alias("text"))
-    texts = texts.join(asked, "text_node", "left_semi")
+    texts = texts.join(asked.hint("merge"), "text_node", "left_semi")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, once = np.unique(batch.column(0).to_numpy(), return_index=True)

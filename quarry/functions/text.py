@@ -35,7 +35,10 @@ def fold(col: Column) -> Column:
 def tokenize(col: Column) -> Column:
     """Terms of a text in order; null and empty texts have none."""
     pieces = F.split(F.coalesce(col, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+")
-    return F.transform(F.filter(pieces, lambda x: (x != "") & (F.octet_length(x) < MAX_TOKEN_BYTES)), fold)
+    kept = F.filter(pieces, lambda x: (x != "") & (F.octet_length(x) < MAX_TOKEN_BYTES))
+    # folded as one string: compiled code, where a lambda for each term would be interpreted
+    joined = fold(F.array_join(kept, " "))
+    return F.filter(F.split(joined, " "), lambda x: x != "")
 
 
 def tokenize_py(text: str) -> list[str]:

@@ -59,7 +59,10 @@ def expand(index: Index, asks: list[tuple[int, str, str, bool, bool]]) -> dict[t
     spark = index.files.sparkSession
     words = spark.createDataFrame(asks, "clause int, field string, word string, prefix boolean, fuzzy boolean")
     fields = tuple(sorted({a[1] for a in asks}))
-    dictionary = index.counts(fields).groupBy("field", "term").agg(F.count("*").alias("df"))
+    counts = index.counts(fields)
+    if not any(prefix or (fuzzy and len(word) > 3 and not word.isdigit()) for _, _, word, prefix, fuzzy in asks):
+        counts = counts.where(F.col("term").isin(*{a[2] for a in asks}))
+    dictionary = counts.groupBy("field", "term").agg(F.count("*").alias("df"))
     n = F.length("word")
     digits = F.col("word").rlike("^[0-9]+$")
     most = F.when(digits | ~F.col("fuzzy") | (n < 4), 0).when(n < 8, 1).otherwise(2)

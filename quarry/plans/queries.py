@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.categories import BY_EXTENSION
 from quarry.functions.paths import skips
+from quarry.functions.snippets import snippet_column
 from quarry.operators import sync
 from quarry.operators.search import Request, search, total
 from quarry.plans.files import files
@@ -213,8 +214,17 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of the top 10, matches in brackets; SQL can't express it, unit tests cover it."""
+    view = files(spark, sf_dir)
+    top = search(Index(view), Request("thtion attion ", limit=10, fuzzy=False)).select("file_id", "path")
+    rows = view.select("file_id", "content").join(F.broadcast(top), "file_id")
+    shown = F.transform("s", lambda x: F.when(x["highlighted"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
+    return rows.withColumn("s", snippet_column(F.col("content"), ["thtion", "attion"])).select("file_id", "path", F.array_join(shown, "").alias("snippet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in QUERIES.items()}
+    return {k: v[0] for k, v in QUERIES.items()} | {"snippet_topk": snippet_topk}
 
 
 def oracle_sql() -> dict[str, str]:

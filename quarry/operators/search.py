@@ -17,13 +17,15 @@ from pyspark.sql import types as T
 
 from quarry.functions.paths import covers
 from quarry.functions.query import ParsedQuery, parse
+from quarry.functions.stems import STEMMERS, stems
 from quarry.functions.text import osa_distance, tokenize_py
 from quarry.plans.index import Index, tokens
 
 #: Fixed values of ranking and expansion.
 BOOSTS = {"name": 2.5, "dir": 0.8, "content": 1.0}
 PREFIX, FUZZY, FORM = 0.6, {0: 1.0, 1: 0.45, 2: 0.3}, 0.8
-MAX_EXPANSIONS, MAX_PREFIX, MAX_FUZZY = 40, 64, 64
+MAX_EXPANSIONS, MAX_LONGER = 40, 6
+SCANNED = {"exact": 1, "prefix": 64, "fuzzy": 64, "form": 400}
 K1, B = 1.2, 0.75
 
 
@@ -36,6 +38,7 @@ class Request:
     sort: str = "relevance"
     limit: int = 100
     fuzzy: bool = True
+    word_forms: bool = True
 
 
 @dataclass
@@ -52,46 +55,68 @@ def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else osa_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-def expand(index: Index, asks: list[tuple[int, str, str, bool, bool]]) -> dict[tuple[int, str], list[tuple[str, float]]]:
-    """Terms that stand for a word: exact, by prefix, by edit distance. ``asks``: (clause, field, word, prefix, fuzzy)."""
+@F.pandas_udf(T.BooleanType())
+def _is_form(term: pd.Series, stem: pd.Series) -> pd.Series:
+    return pd.Series([any(f(t) == s for f in STEMMERS) for t, s in zip(term, stem)], dtype=bool)
+
+
+def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) -> dict[tuple[int, str], list[tuple[str, float]]]:
+    """Terms that stand for a word: exact, by prefix, by edit distance, by stem. ``asks``: (clause, field, word, prefix, fuzzy, forms).
+
+    Each kind of expansion looks at so many terms in term order (``SCANNED``), which
+    Spark cuts in every partition before it shuffles.
+    """
     if not asks:
         return {}
     spark = index.files.sparkSession
-    words = spark.createDataFrame(asks, "clause int, field string, word string, prefix boolean, fuzzy boolean")
-    fields = tuple(sorted({a[1] for a in asks}))
-    counts = index.counts(fields)
-    if not any(prefix or (fuzzy and len(word) > 3 and not word.isdigit()) for _, _, word, prefix, fuzzy in asks):
-        counts = counts.where(F.col("term").isin(*{a[2] for a in asks}))
-    dictionary = counts.groupBy("field", "term").agg(F.count("*").alias("df"))
+    rows = []
+    for clause, f, word, prefix, fuzzy, forms in asks:
+        most = 0 if word.isdigit() or not fuzzy or len(word) < 4 else 1 if len(word) < 8 else 2
+        rows.append((clause, f, word, prefix and len(word) > 1, most, [{"stem": s, "shared": p} for s, p in (stems(word) if forms else [])]))
+    words = spark.createDataFrame(rows, "clause int, field string, word string, prefix boolean, most int, forms array<struct<stem: string, shared: string>>")
+    fields = tuple(sorted({r[1] for r in rows}))
+    if any(prefix or most or forms for *_, prefix, most, forms in rows):
+        dictionary = index.frequencies(fields)
+    else:
+        dictionary = index.frequencies(fields, {r[2] for r in rows})
     n = F.length("word")
-    digits = F.col("word").rlike("^[0-9]+$")
-    most = F.when(digits | ~F.col("fuzzy") | (n < 4), 0).when(n < 8, 1).otherwise(2)
-    begins = F.col("prefix") & (n >= 2) & F.col("term").startswith(F.col("word"))
     # a swap costs two plain edits, so plain distance bounds the pairs before the exact distance runs
-    near = (F.abs(F.length("term") - n) <= F.col("most")) & (F.levenshtein("term", "word", 4) >= 0) & (F.levenshtein("term", "word") <= 2 * F.col("most"))
-    pairs = dictionary.join(F.broadcast(words.withColumn("most", most)), "field").where((F.col("term") == F.col("word")) | begins | ((F.col("most") > 0) & near))
-    pairs = pairs.select("clause", "field", "term", "df", begins.alias("begins"), (F.col("term") == F.col("word")).alias("exact"), "most", F.when((F.col("most") > 0) & near, _osa("term", "word")).alias("d"))
-    by_term = Window.partitionBy("clause", "field").orderBy("term")
-    ranked = pairs.withColumn("pn", F.sum(F.col("begins").cast("int")).over(by_term)).withColumn("close", F.coalesce(F.col("d") <= F.col("most"), F.lit(False)))
-    ranked = ranked.withColumn("fn", F.sum(F.col("close").cast("int")).over(by_term))
-    score = F.greatest(
-        F.when(F.col("exact"), 1.0).otherwise(0.0),
-        F.when(F.col("begins") & (F.col("pn") <= MAX_PREFIX), PREFIX).otherwise(0.0),
-        F.when(F.col("close") & (F.col("fn") <= MAX_FUZZY), F.when(F.col("d") == 0, FUZZY[0]).when(F.col("d") == 1, FUZZY[1]).otherwise(FUZZY[2])).otherwise(0.0),
+    near = (F.col("most") > 0) & (F.abs(F.length("term") - n) <= F.col("most")) & (F.levenshtein("term", "word", 4) >= 0) & (F.levenshtein("term", "word") <= 2 * F.col("most"))
+    kind = lambda name, test, stem: F.struct(F.when(test, name).alias("kind"), stem.alias("stem"))
+    plain = {"exact": F.col("term") == F.col("word"), "prefix": F.col("prefix") & F.col("term").startswith(F.col("word")), "fuzzy": near}
+    kinds = F.concat(
+        F.array(*[kind(k, test, F.lit("")) for k, test in plain.items()]),
+        F.transform("forms", lambda x: kind("form", F.col("term").startswith(x["shared"]), x["stem"])),
     )
+    kinds = F.filter(kinds, lambda k: k["kind"].isNotNull())
+    pairs = dictionary.join(F.broadcast(words), "field").withColumn("k", F.explode(kinds)).select("clause", "field", "term", "df", "word", "most", "k.*")
+    if any(r[4] for r in rows):
+        pairs = pairs.withColumn("d", F.when(F.col("kind") == "fuzzy", _osa("term", "word"))).where((F.col("kind") != "fuzzy") | (F.col("d") <= F.col("most")))
+    else:
+        pairs = pairs.withColumn("d", F.lit(None).cast("int"))
+    in_order = Window.partitionBy("clause", "field", "kind", "stem").orderBy("term")
+    seen = pairs.withColumn("pn", F.row_number().over(in_order)).where(F.col("pn") <= max(SCANNED.values()))
+    limit = F.create_map(*[F.lit(x) for kv in SCANNED.items() for x in kv])[F.col("kind")]
+    seen = seen.where(F.col("pn") <= limit)
+    if any(r[5] for r in rows):
+        short = F.octet_length("term") <= F.octet_length("word") + MAX_LONGER
+        seen = seen.where((F.col("kind") != "form") | (short & F.when(F.col("kind") == "form", _is_form("term", "stem"))))
+    score = F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "prefix", PREFIX).when(F.col("kind") == "form", FORM)
+    score = score.otherwise(F.when(F.col("d") == 0, FUZZY[0]).when(F.col("d") == 1, FUZZY[1]).otherwise(FUZZY[2]))
+    terms = seen.groupBy("clause", "field", "term").agg(F.max(score).alias("mult"), F.max("df").alias("df"))
     best = Window.partitionBy("clause", "field").orderBy(F.desc("mult"), F.desc("df"), "term")
-    kept = ranked.withColumn("mult", score).where("mult > 0").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= MAX_EXPANSIONS)
+    kept = terms.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= MAX_EXPANSIONS)
     out: dict[tuple[int, str], list[tuple[str, float]]] = {}
     for r in kept.select("clause", "field", "term", "mult").collect():
         out.setdefault((r["clause"], r["field"]), []).append((r["term"], r["mult"]))
     return out
 
 
-def clauses(index: Index, q: ParsedQuery, fuzzy: bool = True) -> list[Clause]:
+def clauses(index: Index, q: ParsedQuery, fuzzy: bool = True, word_forms: bool = True) -> list[Clause]:
     asks, out = [], []
 
     def ask(word: str, fields: tuple[str, ...], prefix: bool, highlighted: bool = True) -> None:
-        asks.extend((len(out), f, word, prefix, fuzzy) for f in fields)
+        asks.extend((len(out), f, word, prefix, fuzzy, word_forms and highlighted) for f in fields)
         out.append(Clause(highlighted=highlighted))
 
     words = [t for w in q.words for t in tokenize_py(w)]
@@ -182,7 +207,7 @@ def matching(index: Index, request: Request) -> tuple[DataFrame, list[Clause], P
     """All matching files (file_id, score), before any limit."""
     q = parse(request.query)
     rows = index.files.where(filters(request, q))
-    parts = clauses(index, q, request.fuzzy)
+    parts = clauses(index, q, request.fuzzy, request.word_forms)
     asked = q.has_terms or q.types or q.excluded or request.categories or request.modified_since is not None or request.folder
     if not asked or any(not c.alternatives and not c.phrase for c in parts):
         return rows.limit(0).select("file_id", F.lit(0.0).alias("score")), parts, q

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokenize
 
 FIELDS = {"name": "name", "dir": "dir_text", "content": "content"}
-VERSION = "1"
+VERSION = "2"
 
 
 def tokens(files: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
@@ -27,6 +27,9 @@ class Index:
 
     files: DataFrame
     stored: DataFrame | None = None
+    #: (field, term, df), in the order of terms, and (file_id, field, len) of a stored index.
+    stored_dictionary: DataFrame | None = None
+    stored_lengths: DataFrame | None = None
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -44,11 +47,20 @@ class Index:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return self.counts().groupBy("field", "term").agg(F.count("*").alias("df"))
+        return self.frequencies(tuple(FIELDS))
+
+    def frequencies(self, fields: tuple[str, ...], terms: set[str] | None = None) -> DataFrame:
+        """(field, term, df) of some fields, and of some terms only."""
+        wanted = F.lit(True) if terms is None else F.col("term").isin(*terms)
+        if self.stored_dictionary is not None:
+            return self.stored_dictionary.where(F.col("field").isin(*fields) & wanted)
+        return self.counts(fields).where(wanted).groupBy("field", "term").agg(F.count("*").alias("df"))
 
     @cached_property
     def lengths(self) -> DataFrame:
         """(file_id, field, len), from the files themselves: no shuffle."""
+        if self.stored_lengths is not None:
+            return self.stored_lengths
         each = F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokenize(F.col(c))).alias("len")) for f, c in FIELDS.items()])
         return self.files.select("file_id", F.explode(each).alias("f")).select("file_id", "f.field", F.col("f.len").cast("long").alias("len"))
 
@@ -65,6 +77,11 @@ def write_index(files: DataFrame, path: str, partitions: int | None = None) -> N
     postings = index.postings
     postings = postings.repartitionByRange(partitions, "field", "term", "file_id") if partitions else postings.repartitionByRange("field", "term", "file_id")
     postings.sortWithinPartitions("field", "term", "file_id").write.parquet(f"{path}/postings")
+    # from the written postings: texts are analysed once
+    written = files.sparkSession.read.parquet(f"{path}/postings")
+    terms = written.groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
+    index.lengths.write.parquet(f"{path}/lengths")
     files.sparkSession.createDataFrame([(VERSION,)], "version string").write.parquet(f"{path}/version")
 
 
@@ -73,4 +90,4 @@ def open_index(spark: SparkSession, path: str) -> Index:
     found = spark.read.parquet(f"{path}/version").first()["version"]
     if found != VERSION:
         raise ValueError(f"the index has version {found}; build it anew for version {VERSION}")
-    return Index(spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/postings"))
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("files", "postings", "dictionary", "lengths")])

@@ -85,12 +85,12 @@ ALL3 = "name dir content"
 
 
 def _search(columns=OUT, **request) -> Callable[[SparkSession, str], DataFrame]:
-    request.setdefault("limit", 20)
+    request = {"limit": 20, "word_forms": False} | request
     return lambda spark, d: search(Index(files(spark, d)), Request(**request)).select(*columns)
 
 
 def _total(**request):
-    return lambda spark, d: total(Index(files(spark, d)), Request(**request))
+    return lambda spark, d: total(Index(files(spark, d)), Request(**{"word_forms": False} | request))
 
 
 def _listing(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def _natural(spark, d):
 def _export(spark, d):
     from pyspark.sql import Window
 
-    top = search(Index(files(spark, d)), Request("the of ", limit=10, fuzzy=False))
+    top = search(Index(files(spark, d)), Request("the of ", limit=10, fuzzy=False, word_forms=False))
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "path")) - 1
     return top.select("file_id", F.round(F.greatest(F.lit(1.0) - F.lit(0.05) * rank, F.lit(0.1)), 6).alias("relevance"))
 
@@ -217,14 +217,15 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of the top 10, matches in brackets; SQL can't express it, unit tests cover it."""
     view = files(spark, sf_dir)
-    top = search(Index(view), Request("thtion attion ", limit=10, fuzzy=False)).select("file_id", "path")
+    top = search(Index(view), Request("thtion attion ", limit=10, fuzzy=False, word_forms=False)).select("file_id", "path")
     rows = view.select("file_id", "content").join(F.broadcast(top), "file_id")
     shown = F.transform("s", lambda x: F.when(x["highlighted"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
     return rows.withColumn("s", snippet_column(F.col("content"), ["thtion", "attion"])).select("file_id", "path", F.array_join(shown, "").alias("snippet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in QUERIES.items()} | {"snippet_topk": snippet_topk}
+    unsaid = {"snippet_topk": snippet_topk, "search_word_forms": _search(query="attions thtioned ", word_forms=True)}
+    return {k: v[0] for k, v in QUERIES.items()} | unsaid
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,23 +1,15 @@
-"""Bytes to text: byte order marks, UTF-8, then Windows-1252; and text of office XML and delimited files."""
+"""Bytes to text: byte order marks, UTF-8, then Windows-1252; dispatch by extension; delimited text."""
 
 from __future__ import annotations
 
 import codecs
-import re
-import zipfile
-from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TEXT = 8 << 20
-MAX_MEMBER = 64 << 20
-
-
-def cp1252(data: bytes) -> str:
-    """Windows-1252, its five undefined bytes passed through."""
-    return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in data)
+from quarry.sources.formats import BY_EXTENSION, cp1252, html_to_text, rtf_to_text, xml_to_text
+from quarry.sources.packages import MAX_TEXT, WANTED, package_text, pdf_text, spreadsheet_text, word_text
 
 
 def decode_text(data: bytes) -> str:
@@ -33,60 +25,30 @@ def decode_text(data: bytes) -> str:
         return cp1252(data)
 
 
-_TAG = re.compile(r"<(/?)(?:[\w.-]+:)?([\w.-]+)([^>]*?)(/?)>|<[!?][^>]*>", re.S)
-# Elements of office XML that end a line or a cell, and those whose content is dropped. Fixed values.
-LINE_ENDS, CELL_ENDS, DROPPED = frozenset("p h si tr list-item title".split()), frozenset("tc table-cell c".split()), frozenset("binData instrText del delText".split())
-
-
-def xml_to_text(data: bytes) -> str:
-    """Text of office XML; what comes before a defect is kept."""
-    import html
-
-    source, out, at, dropped = data.decode("utf-8", "replace"), [], 0, 0
-    for m in _TAG.finditer(source):
-        if not dropped:
-            out.append(html.unescape(source[at : m.start()]))
-        at, name = m.end(), m[2]
-        if name in DROPPED:
-            dropped += 0 if m[4] else -1 if m[1] else 1
-        elif name and (m[1] or m[4]) and not dropped:
-            out.append("\n" if name in LINE_ENDS else "\t" if name in CELL_ENDS else "")
-    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
-
-
-def natural(name: str) -> tuple[str, int]:
-    stem = name.rsplit(".", 1)[0]
-    m = re.search(r"(\d*)$", stem)
-    return stem[: m.start()], int(m[1] or 0)
-
-
-def zip_xml_text(data: bytes, wanted) -> str:
-    """Text of the wanted members in natural order, up to the cap."""
-    parts, size = [], 0
-    with zipfile.ZipFile(BytesIO(data)) as z:
-        for name in sorted(filter(wanted, z.namelist()), key=natural):
-            with z.open(name) as f:
-                parts.append(xml_to_text(f.read(MAX_MEMBER)))
-            size += len(parts[-1])
-            if size >= MAX_TEXT:
-                break
-    return "\n".join(parts)
-
-
-OFFICE = {
-    "docx": lambda n: bool(re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes)\.xml", n)),
-    "pptx": lambda n: bool(re.fullmatch(r"ppt/(slides|notesSlides)/[^/]+\.xml", n)),
-    "odt": lambda n: n == "content.xml",
-    "ods": lambda n: n == "content.xml",
-    "odp": lambda n: n == "content.xml",
-}
+def text_of(ext: str, data: bytes) -> str:
+    """The text of a file of a known kind; raises where there is none."""
+    kind = BY_EXTENSION.get(ext)
+    if kind is None:
+        raise ValueError("no kind of document")
+    if kind == "text":
+        return decode_text(data)
+    if kind == "html":
+        return html_to_text(decode_text(data))
+    if kind == "rtf":
+        return rtf_to_text(data.decode("utf-8", "replace"))
+    if ext == "fodt":
+        return xml_to_text(data)
+    if kind in WANTED:
+        return package_text(kind, data)
+    return {"spreadsheet": spreadsheet_text, "doc": word_text, "pdf": pdf_text}[kind](data)
 
 
 def extract(ext: str, data: bytes) -> tuple[str | None, str | None]:
     """(text, failure)."""
     try:
-        text = zip_xml_text(data, OFFICE[ext]) if ext in OFFICE else decode_text(data)
-        return text.encode()[:MAX_TEXT].decode("utf-8", "ignore"), None
+        return text_of(ext, data).encode("utf-8", "replace")[:MAX_TEXT].decode("utf-8", "ignore"), None
+    except (MemoryError, RecursionError):
+        return None, "crashed"
     except Exception as e:  # any defect of a file is data, not an error of the job
         said = str(e).lower()
         return None, "encrypted" if "encrypt" in said or "password" in said else "unreadable"
@@ -94,7 +56,12 @@ def extract(ext: str, data: bytes) -> tuple[str | None, str | None]:
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("failure", T.StringType())]))
 def extract_udf(ext: pd.Series, data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(e, d) for e, d in zip(ext, data)], columns=["text", "failure"])
+    return pd.DataFrame([extract(e or "", d or b"") for e, d in zip(ext, data)], columns=["text", "failure"])
+
+
+@F.pandas_udf(T.StringType())
+def html_text_udf(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: html_to_text(h or ""))
 
 
 def parse_delimited(text: str, separator: str = ",", max_rows: int = 500) -> list[list[str]]:

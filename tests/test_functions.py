@@ -57,7 +57,7 @@ def test_decode():
     assert decode_text("é".encode()) == "é" and decode_text(b"\xe9\x81") == "é\x81" and cp1252(b"\x80") == "€"
     assert decode_text(b"\xff\xfeh\0i\0") == "hi"
     assert extract("txt", b"a\0b") == (None, "unreadable")
-    assert xml_to_text(b"<w:p>One<w:del>x</w:del></w:p><w:p>A&amp;B</w:p>") == "One\nA&B"
+    assert xml_to_text(b"<w:p>One<w:del>x</w:del></w:p><w:p>A&amp;B</w:p>") == "One\nA&B\n"
 
 
 def test_delimited():

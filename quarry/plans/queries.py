@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.categories import BY_EXTENSION
+from quarry.functions.display import display_name, display_path, failure_text, format_count, format_date
 from quarry.functions.paths import skips
 from quarry.functions.snippets import snippet_column
 from quarry.operators import sync
 from quarry.operators.search import Request, search, total
 from quarry.plans.files import files
 from quarry.plans.index import Index, tokens
+from quarry.sources.decode import html_text_udf
+from quarry.sources.formats import BY_EXTENSION as KIND_OF, classified
 from quarry.streaming.changes import coalesced, from_events
 
 # ---- SQL ----------------------------------------------------------------
 
 _CASES = " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in BY_EXTENSION.items())
+_KINDS = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KIND_OF.items())
 FILES = f"""
 f0 AS (SELECT *, ['txt','md','html','pdf','docx','csv','pptx','jpg','mp3','zip','py','bin'][(doc_id % 12 + 1)::INT] AS ext FROM documents),
 f1 AS (SELECT *, '/lib/' || source || '/' || lang AS parent,
@@ -207,6 +211,28 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: sync.first_root(files(s, d).select("path"), ROOTS),
         f"WITH {FILES} SELECT path, CASE WHEN starts_with(path, '/lib/src1/') THEN '/lib/src1' WHEN parent = '/lib/src2/fr' THEN '/lib/src2/fr' WHEN starts_with(path, '/lib/src3/') THEN '/lib/src3' END AS root FROM files",
     ),
+    "classify_files": (
+        lambda s, d: classified(files(s, d).select("file_id", "name", (F.col("size") * 100_000).alias("size"))),
+        f"WITH {FILES} SELECT file_id, name, size * 100000 AS size, ext, CASE WHEN size * 100000 <= CASE WHEN k IN ('text', 'html', 'rtf') THEN 33554432 ELSE 268435456 END THEN k END AS kind FROM (SELECT *, CASE ext {_KINDS} END AS k FROM files)",
+    ),
+    "displayed_values": (
+        lambda s, d: files(s, d).select(
+            "file_id",
+            format_date(F.col("mtime"), F.lit("2024-01-20 12:00:00").cast("timestamp")).alias("date"),
+            format_count(F.col("mtime"), "es").alias("count"),
+            display_path(F.col("path"), "/lib/src1").alias("shown"),
+            display_name(F.col("path")).alias("name"),
+            failure_text(F.col("failure")).alias("failure"),
+        ),
+        f"""WITH {FILES} SELECT file_id, CASE WHEN m::DATE = DATE '2024-01-20' THEN strftime(m, '%H:%M') WHEN year(m) = 2024 THEN strftime(m, '%-d %b') ELSE strftime(m, '%-d %b %Y') END AS date,
+  replace(format('{{:,}}', mtime), ',', '.') AS count, CASE WHEN starts_with(path, '/lib/src1/') THEN '~' || substr(path, 10) ELSE path END AS shown, name,
+  CASE failure WHEN 'encrypted' THEN 'Password protected' WHEN 'timed-out' THEN 'Took too long to read' WHEN 'crashed' THEN 'Couldn''t be read safely' WHEN 'unreadable' THEN 'Damaged or unsupported' END AS failure
+  FROM (SELECT *, make_timestamp(mtime * 1000000) AS m FROM files)""",
+    ),
+    "library_order": (
+        lambda s, d: files(s, d).groupBy("parent").agg(F.count("*").alias("files"), F.max("mtime").alias("newest")).orderBy("parent"),
+        f"WITH {FILES} SELECT parent, count(*) AS files, max(mtime) AS newest FROM files GROUP BY parent ORDER BY parent",
+    ),
     "stream_change_dedup": (
         lambda s, d: coalesced(from_events(s.read.parquet(f"{d}/events.parquet"))).select("path", "op", "seq"),
         "SELECT '/lib/user' || user_id || '.txt' AS path, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'delete' ELSE 'upsert' END AS op, arg_max(event_id, (ts, event_id)) AS seq FROM events GROUP BY user_id",
@@ -223,8 +249,14 @@ def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", snippet_column(F.col("content"), ["thtion", "attion"])).select("file_id", "path", F.array_join(shown, "").alias("snippet"))
 
 
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every page; SQL can't express it, unit tests cover it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", html_text_udf("html").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    unsaid = {"snippet_topk": snippet_topk, "search_word_forms": _search(query="attions thtioned ", word_forms=True)}
+    unsaid = {"html_to_text": html_to_text, "snippet_topk": snippet_topk, "search_word_forms": _search(query="attions thtioned ", word_forms=True)}
     return {k: v[0] for k, v in QUERIES.items()} | unsaid
 
 

@@ -2,24 +2,28 @@
 
 Parsing and planning run on the driver. Expansions of a word are a bounded
 result (``MAX_EXPANSIONS`` a word and field) that is collected; the terms then reach the
-scan of the postings as a filter. Ranking works on ids and scores, and the
-files' own columns are joined to the top k only.
+scan of the postings as a filter, with all that a score needs but the posting
+itself. Scores, met clauses and matches are summed in one pass by file, before
+the shuffle; the files are joined once.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.paths import covers
 from quarry.functions.query import ParsedQuery, parse
 from quarry.functions.stems import STEMMERS, stems
 from quarry.functions.text import osa_distance, tokenize_py
-from quarry.plans.index import Index, tokens
+from quarry.plans.index import Index
 
 #: Fixed values of ranking and expansion.
 BOOSTS = {"name": 2.5, "dir": 0.8, "content": 1.0}
@@ -27,6 +31,8 @@ PREFIX, FUZZY, FORM = 0.6, {0: 1.0, 1: 0.45, 2: 0.3}, 0.8
 MAX_EXPANSIONS, MAX_LONGER = 40, 6
 SCANNED = {"exact": 1, "prefix": 64, "fuzzy": 64, "form": 400}
 K1, B = 1.2, 0.75
+#: Clauses in one bit mask.
+BITS = 62
 
 
 @dataclass
@@ -43,9 +49,9 @@ class Request:
 
 @dataclass
 class Clause:
-    """One required part: alternatives (field, term, multiplier), any of which may match; or a phrase."""
+    """One required part: alternatives (field, term, multiplier, df), any of which may match; or a phrase."""
 
-    alternatives: list[tuple[str, str, float]] = field(default_factory=list)
+    alternatives: list[tuple[str, str, float, int]] = field(default_factory=list)
     phrase: list[str] = field(default_factory=list)
     highlighted: bool = True
 
@@ -60,8 +66,14 @@ def _is_form(term: pd.Series, stem: pd.Series) -> pd.Series:
     return pd.Series([any(f(t) == s for f in STEMMERS) for t, s in zip(term, stem)], dtype=bool)
 
 
-def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) -> dict[tuple[int, str], list[tuple[str, float]]]:
-    """Terms that stand for a word: exact, by prefix, by edit distance, by stem. ``asks``: (clause, field, word, prefix, fuzzy, forms).
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that stand in the plan itself, so that no Python worker is asked for them."""
+    fields = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.table({f.name: pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)}), fields)
+
+
+def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) -> dict[tuple[int, str], list[tuple[str, float, int]]]:
+    """Terms that stand for a word, with multiplier and df: exact, by prefix, by edit distance, by stem. ``asks``: (clause, field, word, prefix, fuzzy, forms).
 
     Each kind of expansion looks at so many terms in term order (``SCANNED``), which
     Spark cuts in every partition before it shuffles.
@@ -73,12 +85,16 @@ def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) ->
     for clause, f, word, prefix, fuzzy, forms in asks:
         most = 0 if word.isdigit() or not fuzzy or len(word) < 4 else 1 if len(word) < 8 else 2
         rows.append((clause, f, word, prefix and len(word) > 1, most, [{"stem": s, "shared": p} for s, p in (stems(word) if forms else [])]))
-    words = spark.createDataFrame(rows, "clause int, field string, word string, prefix boolean, most int, forms array<struct<stem: string, shared: string>>")
     fields = tuple(sorted({r[1] for r in rows}))
-    if any(prefix or most or forms for *_, prefix, most, forms in rows):
-        dictionary = index.frequencies(fields)
-    else:
-        dictionary = index.frequencies(fields, {r[2] for r in rows})
+    out: dict[tuple[int, str], list[tuple[str, float, int]]] = {}
+    if not any(prefix or most or forms for *_, prefix, most, forms in rows):
+        known = {(r["field"], r["term"]): r["df"] for r in index.frequencies(fields, {r[2] for r in rows}).collect()}
+        for clause, f, word, *_ in rows:
+            if (f, word) in known:
+                out[clause, f] = [(word, 1.0, known[f, word])]
+        return out
+    words = local(spark, rows, "clause int, field string, word string, prefix boolean, most int, forms array<struct<stem: string, shared: string>>")
+    dictionary = index.frequencies(fields)
     n = F.length("word")
     # a swap costs two plain edits, so plain distance bounds the pairs before the exact distance runs
     near = (F.col("most") > 0) & (F.abs(F.length("term") - n) <= F.col("most")) & (F.levenshtein("term", "word", 4) >= 0) & (F.levenshtein("term", "word") <= 2 * F.col("most"))
@@ -106,17 +122,16 @@ def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) ->
     terms = seen.groupBy("clause", "field", "term").agg(F.max(score).alias("mult"), F.max("df").alias("df"))
     best = Window.partitionBy("clause", "field").orderBy(F.desc("mult"), F.desc("df"), "term")
     kept = terms.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= MAX_EXPANSIONS)
-    out: dict[tuple[int, str], list[tuple[str, float]]] = {}
-    for r in kept.select("clause", "field", "term", "mult").collect():
-        out.setdefault((r["clause"], r["field"]), []).append((r["term"], r["mult"]))
+    for r in kept.select("clause", "field", "term", "mult", "df").collect():
+        out.setdefault((r["clause"], r["field"]), []).append((r["term"], r["mult"], r["df"]))
     return out
 
 
 def clauses(index: Index, q: ParsedQuery, fuzzy: bool = True, word_forms: bool = True) -> list[Clause]:
     asks, out = [], []
 
-    def ask(word: str, fields: tuple[str, ...], prefix: bool, highlighted: bool = True) -> None:
-        asks.extend((len(out), f, word, prefix, fuzzy, word_forms and highlighted) for f in fields)
+    def ask(word: str, fields: tuple[str, ...], prefix: bool, highlighted: bool = True, as_is: bool = False) -> None:
+        asks.extend((len(out), f, word, prefix, fuzzy and not as_is, word_forms and highlighted and not as_is) for f in fields)
         out.append(Clause(highlighted=highlighted))
 
     words = [t for w in q.words for t in tokenize_py(w)]
@@ -126,12 +141,14 @@ def clauses(index: Index, q: ParsedQuery, fuzzy: bool = True, word_forms: bool =
         ask(w, ("name",), True)
     for w in (t for x in q.folders for t in tokenize_py(x)):
         ask(w, ("dir",), True, False)
-    for (clause, f), terms in expand(index, asks).items():
-        out[clause].alternatives += [(f, t, m) for t, m in terms]
     for p in q.phrases:
-        if terms := tokenize_py(p):
-            one = [(f, terms[0], 1.0) for f in ("name", "content")] if len(terms) == 1 else []
-            out.append(Clause(one, terms if len(terms) > 1 else []))
+        terms = tokenize_py(p)
+        if len(terms) == 1:
+            ask(terms[0], ("name", "content"), False, as_is=True)
+        elif terms:
+            out.append(Clause(phrase=terms))
+    for (clause, f), terms in expand(index, asks).items():
+        out[clause].alternatives += [(f, *t) for t in terms]
     return out
 
 
@@ -149,49 +166,63 @@ def filters(request: Request, q: ParsedQuery) -> Column:
     return out
 
 
+def moved(positions: Column, i: int) -> Column:
+    return F.transform(positions, lambda p: p - i)
+
+
 def phrase_counts(index: Index, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
-    """(field, file_id, tf): occurrences of adjacent terms, by windows of neighbours in one field of one file."""
-    rows = tokens(index.files, fields).where(F.col("term").isin(*terms))
-    starts = rows.select("field", "file_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])).alias("k"), "pos", "term")
-    starts = starts.where(F.col("k.t") == F.col("term")).select("field", "file_id", (F.col("pos") - F.col("k.i")).alias("start"))
-    whole = starts.groupBy("field", "file_id", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
-    return whole.groupBy("field", "file_id").agg(F.count("*").alias("tf"))
+    """(field, file_id, len, tf): occurrences of adjacent terms, from the positions of each term in one field of one file."""
+    rows = index.postings.where(F.col("field").isin(*fields) & F.col("term").isin(*terms))
+    distinct = list(dict.fromkeys(terms))
+    # a term has one posting in a field of a file
+    where = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(distinct)]
+    whole = rows.groupBy("field", "file_id").agg(F.max("len").alias("len"), *where).dropna(subset=[f"p{i}" for i in range(len(distinct))])
+    starts = None
+    for i, t in enumerate(terms):
+        shifted = moved(F.col(f"p{distinct.index(t)}"), i)
+        starts = shifted if starts is None else F.array_intersect(starts, shifted)
+    return whole.select("field", "file_id", "len", F.size(starts).alias("tf")).where("tf > 0")
+
+
+def idf(n: int, df: Column) -> Column:
+    return F.log(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
 
 
 def scored(index: Index, parts: list[Clause]) -> DataFrame:
-    """(file_id, score, matches) of the files that match every clause."""
-    spark = index.files.sparkSession
-    n, totals = index.stats()
-    wanted = [(i, f, t, float(m)) for i, c in enumerate(parts) for f, t, m in c.alternatives]
-    hits = None
-    if wanted:
-        asked = spark.createDataFrame(wanted, "clause int, field string, term string, mult double")
-        fields = tuple(sorted({w[1] for w in wanted}))
-        found = index.counts(fields).where(F.col("term").isin(*{w[2] for w in wanted}))
-        df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-        hits = found.join(F.broadcast(asked.join(df, ["field", "term"])), ["field", "term"]).select("clause", "field", "term", "file_id", "tf", "mult", "df")
+    """(file_id, score, matches) of the files that match every clause.
+
+    matches: occurrences in name and content of all highlighted terms. One row a
+    (field, term) is asked for, whatever the number of clauses that want it, so a
+    posting is read once and joined to one row at most.
+    """
+    n, totals = index.stats
+    blocks = range(-(-len(parts) // BITS))
+    bits = lambda clauses: [sum(1 << i % BITS for i in clauses if i // BITS == b) for b in blocks]
+    average = {f: float(totals.get(f, 0)) / max(n, 1) or 1.0 for f in BOOSTS}
+    shown = {t for c in parts if c.highlighted for _, t, *_ in c.alternatives} | {t for c in parts for t in c.phrase}
+    wanted: dict[tuple[str, str], tuple[list[int], float]] = {(f, t): ([], 0.0) for f in ("name", "content") for t in shown}
+    for i, c in enumerate(parts):
+        for f, t, mult, df in c.alternatives:
+            clauses, weight = wanted.get((f, t), ([], 0.0))
+            wanted[f, t] = ([*clauses, i], weight + mult * BOOSTS[f] * math.log(1 + (n - df + 0.5) / (df + 0.5)))
+    rows = [(f, t, w, average[f], f != "dir" and t in shown, bits(clauses)) for (f, t), (clauses, w) in wanted.items()]
+    asked = local(index.files.sparkSession, rows, "field string, term string, weight double, average double, counted boolean, bits array<long>")
+    found = index.counts(tuple(sorted({f for f, _ in wanted}))).where(F.col("term").isin(*{t for _, t in wanted}))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("len") / F.col("average")))
+    masks = [F.col("bits")[b].alias(f"b{b}") for b in blocks]
+    hits = found.join(F.broadcast(asked), ["field", "term"]).select("file_id", (F.col("weight") * norm).alias("part"), F.when(F.col("counted"), F.col("tf")).otherwise(0).cast("long").alias("n"), *masks)
+    by_field = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("field")]
     for i, c in enumerate(parts):
         if c.phrase:
             tf = phrase_counts(index, c.phrase, ("name", "content"))
-            df = tf.groupBy("field").agg(F.count("*").alias("df"))
-            one = tf.join(F.broadcast(df), "field").select(F.lit(i).alias("clause"), "field", F.lit(" ".join(c.phrase)).alias("term"), "file_id", "tf", F.lit(1.0).alias("mult"), "df")
-            hits = one if hits is None else hits.unionByName(one)
-    hits = hits.join(index.lengths, ["file_id", "field"])
-    boost = F.create_map(*[F.lit(x) for p in BOOSTS.items() for x in p])[F.col("field")]
-    average = F.create_map(*[F.lit(x) for f, t in totals.items() for x in (f, float(t) / max(n, 1))])[F.col("field")]
-    idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("len") / average))
-    by_file = hits.groupBy("file_id").agg(F.sum(F.col("mult") * boost * idf * tf).alias("score"), F.count_distinct("clause").alias("met"))
-    return by_file.where(F.col("met") == len(parts)).select("file_id", "score")
-
-
-def match_counts(index: Index, parts: list[Clause], top: DataFrame) -> DataFrame:
-    """``top`` with ``matches``: occurrences in name and content of all highlighted terms."""
-    terms = {t for c in parts if c.highlighted for _, t, _ in c.alternatives} | {t for c in parts for t in c.phrase}
-    if not terms:
-        return top.withColumn("matches", F.lit(0).cast("long"))
-    found = index.counts(("name", "content")).where(F.col("term").isin(*terms)).join(top.select("file_id"), "file_id", "left_semi")
-    return top.join(found.groupBy("file_id").agg(F.sum("tf").alias("matches")), "file_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+            one = tf.join(F.broadcast(tf.groupBy("field").agg(F.count("*").alias("df"))), "field").withColumn("average", by_field(average))
+            masks = [F.lit(m).cast("long").alias(f"b{b}") for b, m in enumerate(bits([i]))]
+            hits = hits.unionByName(one.select("file_id", (by_field(BOOSTS) * idf(n, F.col("df")) * norm).alias("part"), F.lit(0).cast("long").alias("n"), *masks))
+    sums = [F.sum("part").alias("score"), F.sum("n").alias("matches"), *[F.bit_or(f"b{b}").alias(f"b{b}") for b in blocks]]
+    by_file = hits.groupBy("file_id").agg(*sums)
+    for b, full in enumerate(bits(range(len(parts)))):
+        by_file = by_file.where(F.col(f"b{b}") == full)
+    return by_file.select("file_id", "score", "matches")
 
 
 SORTS = {
@@ -203,16 +234,24 @@ SORTS = {
 }
 
 
-def matching(index: Index, request: Request) -> tuple[DataFrame, list[Clause], ParsedQuery]:
-    """All matching files (file_id, score), before any limit."""
+#: Columns of the files that a search returns.
+SHOWN = ("path", "name", "mtime", "size", "category")
+
+
+def matching(index: Index, request: Request, columns: tuple[str, ...] = ()) -> DataFrame:
+    """All matching files (file_id, score, matches) with ``columns`` of theirs, before any limit."""
     q = parse(request.query)
-    rows = index.files.where(filters(request, q))
+    rows = index.files.where(filters(request, q)).select("file_id", *columns)
     parts = clauses(index, q, request.fuzzy, request.word_forms)
-    asked = q.has_terms or q.types or q.excluded or request.categories or request.modified_since is not None or request.folder
-    if not asked or any(not c.alternatives and not c.phrase for c in parts):
-        return rows.limit(0).select("file_id", F.lit(0.0).alias("score")), parts, q
-    slim = rows.select("file_id")
-    out = scored(index, parts).join(slim, "file_id", "left_semi") if parts else slim.withColumn("score", F.lit(0.0))
+    narrowed = q.types or request.categories or request.modified_since is not None or request.folder
+    unmet = any(not c.alternatives and not c.phrase for c in parts)
+    if unmet or not (q.has_terms or q.excluded or narrowed):
+        return rows.limit(0).select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches"))
+    if parts:
+        out = scored(index, parts)
+        out = out.join(rows, "file_id") if columns or narrowed else out
+    else:
+        out = rows.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches"))
     for text in q.excluded:
         terms = tokenize_py(text)
         if len(terms) == 1:
@@ -222,21 +261,19 @@ def matching(index: Index, request: Request) -> tuple[DataFrame, list[Clause], P
         else:
             continue
         out = out.join(gone, "file_id", "left_anti")
-    return out, parts, q
+    return out
 
 
 def search(index: Index, request: Request) -> DataFrame:
-    """The top files: file_id, path, name, mtime, size, category, score (6 digits), matches."""
-    found, parts, q = matching(index, request)
+    """The top files in order: file_id, path, name, mtime, size, category, score (6 digits), matches."""
+    q = parse(request.query)
     sort = "newest" if request.sort == "relevance" and not q.has_terms else request.sort
-    keys = index.files.select("file_id", "path", F.lower("name").alias("name_key"), "mtime", "size")
     direction, column = SORTS[sort]
-    ranked = found.withColumn("score", F.round("score", 6)).join(keys, "file_id")
-    top = ranked.orderBy(direction(column), "path").limit(max(request.limit, 1)).select("file_id", "score")
-    top = match_counts(index, parts, top)
-    return index.files.select("file_id", "path", "name", "mtime", "size", "category").join(F.broadcast(top), "file_id")
+    found = matching(index, request, SHOWN).withColumn("score", F.round("score", 6)).withColumn("name_key", F.lower("name"))
+    top = found.orderBy(direction(column), "path").limit(max(request.limit, 1))
+    return top.select("file_id", *SHOWN, "score", "matches")
 
 
 def total(index: Index, request: Request) -> DataFrame:
     """One row: the number of matching files, whatever the limit."""
-    return matching(index, request)[0].agg(F.count("*").alias("total"))
+    return matching(index, request).agg(F.count("*").alias("total"))

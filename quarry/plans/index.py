@@ -1,4 +1,4 @@
-"""The inverted index as ordinary tables: postings, dictionary, field lengths and field statistics."""
+"""The inverted index as ordinary tables: postings, dictionary and field statistics."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokenize
 
 FIELDS = {"name": "name", "dir": "dir_text", "content": "content"}
-VERSION = "2"
+VERSION = "3"
 
 
 def tokens(files: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-    """(field, file_id, pos, term): every term of every field."""
+    """(field, file_id, len, pos, term): every term of every field; len is the field's number of terms."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(FIELDS[f]).alias("text")) for f in fields])
-    rows = files.select("file_id", F.explode(each).alias("f"))
-    return rows.select(F.col("f.field").alias("field"), "file_id", F.posexplode(tokenize(F.col("f.text"))).alias("pos", "term"))
+    rows = files.select("file_id", F.explode(each).alias("f")).select("f.field", "file_id", tokenize(F.col("f.text")).alias("terms"))
+    return rows.withColumn("len", F.size("terms")).select("field", "file_id", "len", F.posexplode("terms").alias("pos", "term"))
 
 
 @dataclass
@@ -27,23 +27,26 @@ class Index:
 
     files: DataFrame
     stored: DataFrame | None = None
-    #: (field, term, df), in the order of terms, and (file_id, field, len) of a stored index.
+    #: (field, term, df) in the order of terms, and (field, n, total) of a stored index.
     stored_dictionary: DataFrame | None = None
-    stored_lengths: DataFrame | None = None
+    stored_stats: DataFrame | None = None
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(field, term, file_id, tf, positions); a group is one term of one file, so it is bounded by a file."""
+        """(field, term, file_id, tf, len, positions); a group is one term of one file, so it is bounded by a file.
+
+        The field's length stands in each posting, so that a search joins no table of lengths.
+        """
         if self.stored is not None:
             return self.stored
         grouped = tokens(self.files).groupBy("field", "term", "file_id")
-        return grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        return grouped.agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def counts(self, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-        """(field, term, file_id, tf) without positions, summed before the shuffle."""
+        """(field, term, file_id, tf, len) without positions, summed before the shuffle."""
         if self.stored is not None:
-            return self.stored.where(F.col("field").isin(*fields)).select("field", "term", "file_id", "tf")
-        return tokens(self.files, fields).groupBy("field", "term", "file_id").agg(F.count("*").alias("tf"))
+            return self.stored.where(F.col("field").isin(*fields)).select("field", "term", "file_id", "tf", "len")
+        return tokens(self.files, fields).groupBy("field", "term", "file_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -59,30 +62,35 @@ class Index:
     @cached_property
     def lengths(self) -> DataFrame:
         """(file_id, field, len), from the files themselves: no shuffle."""
-        if self.stored_lengths is not None:
-            return self.stored_lengths
         each = F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokenize(F.col(c))).alias("len")) for f, c in FIELDS.items()])
         return self.files.select("file_id", F.explode(each).alias("f")).select("file_id", "f.field", F.col("f.len").cast("long").alias("len"))
 
+    @cached_property
     def stats(self) -> tuple[int, dict[str, int]]:
         """Number of files and terms in each field."""
-        rows = self.lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).collect()
+        found = self.stored_stats
+        if found is None:
+            found = self.lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+        rows = found.collect()
         return max((r["n"] for r in rows), default=0), {r["field"]: r["total"] for r in rows}
 
 
 def write_index(files: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store files and postings; postings are sorted by term, so that Parquet skips row groups."""
-    index = Index(files)
     files.write.parquet(f"{path}/files")
-    postings = index.postings
+    # from the written postings on: texts are analysed once
+    postings = Index(files).postings
     postings = postings.repartitionByRange(partitions, "field", "term", "file_id") if partitions else postings.repartitionByRange("field", "term", "file_id")
     postings.sortWithinPartitions("field", "term", "file_id").write.parquet(f"{path}/postings")
-    # from the written postings: texts are analysed once
-    written = files.sparkSession.read.parquet(f"{path}/postings")
+    spark = files.sparkSession
+    written = spark.read.parquet(f"{path}/postings")
     terms = written.groupBy("field", "term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
-    index.lengths.write.parquet(f"{path}/lengths")
-    files.sparkSession.createDataFrame([(VERSION,)], "version string").write.parquet(f"{path}/version")
+    n = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"))
+    fields = spark.range(1).select(F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    totals = fields.join(F.broadcast(written.groupBy("field").agg(F.sum("tf").alias("total"))), "field", "left")
+    totals.join(n).select("field", "n", F.coalesce("total", F.lit(0)).alias("total")).write.parquet(f"{path}/stats")
+    spark.createDataFrame([(VERSION,)], "version string").write.parquet(f"{path}/version")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -90,4 +98,4 @@ def open_index(spark: SparkSession, path: str) -> Index:
     found = spark.read.parquet(f"{path}/version").first()["version"]
     if found != VERSION:
         raise ValueError(f"the index has version {found}; build it anew for version {VERSION}")
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("files", "postings", "dictionary", "lengths")])
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("files", "postings", "dictionary", "stats")])

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from quarry.functions.categories import BY_EXTENSION
 from quarry.functions.display import display_name, display_path, failure_text, format_count, format_date
 from quarry.functions.paths import skips
+from quarry.functions.query import parse
 from quarry.functions.snippets import snippet_column
 from quarry.operators import sync
 from quarry.operators.search import Request, search, total
 from quarry.plans.files import files
 from quarry.plans.index import Index, tokens
+from quarry.plans.session import session_index, spread
 from quarry.sources.decode import html_text_udf
 from quarry.sources.formats import BY_EXTENSION as KIND_OF, classified
 from quarry.streaming.changes import coalesced, from_events
@@ -88,13 +90,20 @@ OUT = ("file_id", "path", "score", "matches")
 ALL3 = "name dir content"
 
 
+def _index(spark: SparkSession, d: str, request: Request) -> Index:
+    """Filters alone need no index; words share that of the session."""
+    q = parse(request.query)
+    return session_index(spark, d) if q.has_terms or q.excluded else Index(files(spark, d))
+
+
 def _search(columns=OUT, **request) -> Callable[[SparkSession, str], DataFrame]:
-    request = {"limit": 20, "word_forms": False} | request
-    return lambda spark, d: search(Index(files(spark, d)), Request(**request)).select(*columns)
+    ask = Request(**{"limit": 20, "word_forms": False} | request)
+    return lambda spark, d: search(_index(spark, d, ask), ask).select(*columns)
 
 
 def _total(**request):
-    return lambda spark, d: total(Index(files(spark, d)), Request(**{"word_forms": False} | request))
+    ask = Request(**{"word_forms": False} | request)
+    return lambda spark, d: total(_index(spark, d, ask), ask)
 
 
 def _listing(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +122,7 @@ INDEXED = """, indexed AS (SELECT path, mtime - CASE WHEN file_id % 5 = 0 THEN 1
 
 
 def _postings(spark, d):
-    p = Index(files(spark, d)).postings
+    p = Index(spread(files(spark, d))).postings
     return p.select("field", "term", "file_id", F.col("tf").cast("long").alias("tf"), F.element_at("positions", 1).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
 
 
@@ -127,7 +136,7 @@ def _natural(spark, d):
 def _export(spark, d):
     from pyspark.sql import Window
 
-    top = search(Index(files(spark, d)), Request("the of ", limit=10, fuzzy=False, word_forms=False))
+    top = search(session_index(spark, d), Request("the of ", limit=10, fuzzy=False, word_forms=False))
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "path")) - 1
     return top.select("file_id", F.round(F.greatest(F.lit(1.0) - F.lit(0.05) * rank, F.lit(0.1)), 6).alias("relevance"))
 
@@ -138,12 +147,12 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"WITH {FILES} SELECT file_id, ext, name, path, dir_text, coalesce(length(content), 0)::BIGINT AS content_chars, mtime, size, status, failure, category FROM files",
     ),
     "tokenize_counts": (
-        lambda s, d: tokens(files(s, d), ("content",)).groupBy("term").agg(F.count("*").alias("n")),
+        lambda s, d: tokens(spread(files(s, d)), ("content",)).groupBy("term").agg(F.count("*").alias("n")),
         f"WITH {TOKENS} SELECT term, count(*) AS n FROM tok WHERE field = 'content' GROUP BY term",
     ),
     "postings_build": (_postings, f"WITH {TOKENS} SELECT field, term, file_id, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM tok GROUP BY ALL"),
-    "dictionary_df": (lambda s, d: Index(files(s, d)).dictionary, f"WITH {TOKENS} SELECT * FROM dict"),
-    "field_lengths": (lambda s, d: Index(files(s, d)).lengths, f"WITH {TOKENS} SELECT file_id, field, len::BIGINT AS len FROM lens"),
+    "dictionary_df": (lambda s, d: Index(spread(files(s, d))).dictionary, f"WITH {TOKENS} SELECT * FROM dict"),
+    "field_lengths": (lambda s, d: Index(spread(files(s, d))).lengths, f"WITH {TOKENS} SELECT file_id, field, len::BIGINT AS len FROM lens"),
     "search_bm25_topk": (_search(query="thtion attion ", fuzzy=False), searched([("thtion", ALL3, False, False), ("attion", ALL3, False, False)])),
     "search_exact_and": (_total(query="thtion that ", fuzzy=False), searched([("thtion", ALL3, False, False), ("that", ALL3, False, False)], limit=0, columns="count(*) AS total")),
     "search_multifield_boost": (_search(query="src1 the ", fuzzy=False), searched([("src1", ALL3, False, False), ("the", ALL3, False, False)])),
@@ -243,7 +252,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of the top 10, matches in brackets; SQL can't express it, unit tests cover it."""
     view = files(spark, sf_dir)
-    top = search(Index(view), Request("thtion attion ", limit=10, fuzzy=False, word_forms=False)).select("file_id", "path")
+    top = search(session_index(spark, sf_dir), Request("thtion attion ", limit=10, fuzzy=False, word_forms=False)).select("file_id", "path")
     rows = view.select("file_id", "content").join(F.broadcast(top), "file_id")
     shown = F.transform("s", lambda x: F.when(x["highlighted"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
     return rows.withColumn("s", snippet_column(F.col("content"), ["thtion", "attion"])).select("file_id", "path", F.array_join(shown, "").alias("snippet"))

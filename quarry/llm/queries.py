@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_wfq_mixing": mixing.ORACLE}
+    return {"op1_wfq_mixing": mixing.ORACLE, "op5_positional_index": decontaminate.ORACLE}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.categories import category_of
-from quarry.functions.text import tokenize
+from quarry.functions.text import MAX_TOKEN_BYTES, fold, tokenize
 
 #: Extensions dealt to documents in turn; the last four of NAME_ONLY hold no text.
 EXTS = "txt md html pdf docx csv pptx jpg mp3 zip py bin".split()
@@ -20,8 +20,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("doc_id") % 12 + 1).cast("int"))
     failed = (F.col("doc_id") % 37 == 0) & ~F.col("ext").isin(*NAME_ONLY)
-    # the first term, without analysing the whole text
-    word = F.get(tokenize(F.substring_index(F.ltrim("text"), " ", 8)), 0)
+    # the first term; the rest of the text is analysed only where the first piece is too long for one
+    first = F.regexp_extract("text", r"[\p{IsAlphabetic}\p{N}]+", 0)
+    word = F.when(F.octet_length(first) < MAX_TOKEN_BYTES, F.nullif(fold(first), F.lit(""))).otherwise(F.get(tokenize(F.col("text")), 0))
     out = d.select(F.col("doc_id").alias("file_id"), "doc_id", "text", "source", "lang", ext.alias("ext"))
     out = out.withColumn("parent", F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang"))
     out = out.withColumn("name", F.concat(F.coalesce(word, F.lit("empty")), F.lit("-"), "doc_id", F.lit("."), "ext"))

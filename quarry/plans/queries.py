@@ -28,7 +28,7 @@ _KINDS = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KIND_OF.items())
 FILES = f"""
 f0 AS (SELECT *, ['txt','md','html','pdf','docx','csv','pptx','jpg','mp3','zip','py','bin'][(doc_id % 12 + 1)::INT] AS ext FROM documents),
 f1 AS (SELECT *, '/lib/' || source || '/' || lang AS parent,
-  coalesce(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')[1], 'empty') || '-' || doc_id || '.' || ext AS name,
+  coalesce(list_filter(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) < 48)[1], 'empty') || '-' || doc_id || '.' || ext AS name,
   CASE WHEN doc_id % 37 = 0 AND ext NOT IN ('jpg','mp3','zip','bin') THEN 'failed' END AS status FROM f0),
 files AS (SELECT doc_id AS file_id, ext, parent, name, parent || '/' || name AS path, 'lib ' || source || '/' || lang AS dir_text,
   CASE WHEN ext NOT IN ('jpg','mp3','zip','bin') AND status IS NULL THEN text END AS content,

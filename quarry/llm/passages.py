@@ -6,7 +6,7 @@ seed. Each seed that occurs in several texts is tied to its first holder (the
 least text id), never to all others, so a passage that a million texts share
 makes a million anchors. Anchors of one pair of texts are merged into runs on
 a diagonal; runs are chained in order in both texts with gap costs, the best
-predecessor found through a Fenwick tree; chains are extended and aligned word by
+predecessor within the greatest gap found through a tree of range maxima; chains are extended and aligned word by
 word (banded edit distance), and passages of ``min_words`` or more with
 enough equal words are returned. Equal texts are chained once, as one text.
 
@@ -18,6 +18,8 @@ ids are kept as rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ MIN_WORDS = 50
 MIN_EQUAL = 0.8
 #: Longest gap between two runs of a chain, and the cost of a word of gap or of shift.
 MAX_GAP, GAP_COST = 40, 0.5
+#: No predecessor.
+NONE = (-1e18, -1)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -66,26 +70,45 @@ def runs(a: np.ndarray, b: np.ndarray, k: int = K, reach: int = STEP + K) -> np.
     return np.stack([a[first], b[first], a[last] - a[first] + k], axis=1)
 
 
-class Fenwick:
-    """Largest (value, item) over a prefix of ranks."""
+class RangeMax:
+    """Largest (value, item) over a range of ranks; each rank holds its items in falling order of value."""
 
     def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-1e18, -1)] * (n + 1)
+        self.n = n
+        self.held: list[deque] = [deque() for _ in range(n)]
+        self.best: list[tuple[float, int]] = [NONE] * (2 * n)
+
+    def _renew(self, rank: int) -> None:
+        i = rank + self.n
+        self.best[i] = self.held[rank][0] if self.held[rank] else NONE
+        while i > 1:
+            i //= 2
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
 
     def add(self, rank: int, value: tuple[float, int]) -> None:
-        i = rank + 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def top(self, rank: int) -> tuple[float, int]:
-        """Over ranks below ``rank``."""
-        found = (-1e18, -1)
-        while rank:
-            if self.best[rank] > found:
-                found = self.best[rank]
-            rank -= rank & -rank
+        held = self.held[rank]
+        # an older item of less value leaves earlier and is never the best again
+        while held and held[-1] <= value:
+            held.pop()
+        held.append(value)
+        self._renew(rank)
+
+    def drop(self, rank: int, item: int) -> None:
+        if self.held[rank] and self.held[rank][0][1] == item:
+            self.held[rank].popleft()
+            self._renew(rank)
+
+    def top(self, low: int, high: int) -> tuple[float, int]:
+        """Over ranks from ``low`` to below ``high``."""
+        found, low, high = NONE, low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                found = max(found, self.best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = max(found, self.best[high])
+            low, high = low // 2, high // 2
         return found
 
 
@@ -94,25 +117,29 @@ def chains(found: np.ndarray) -> list[list[int]]:
 
     A run's score is its length and the best of its predecessors' scores less the
     cost of the words between them, split into the two texts: predecessors are kept
-    with score + cost * (end a + end b), so the best is a prefix maximum by end b.
+    with score + cost * (end a + end b), so the best is a maximum over a range of end b.
+    Those that end more than ``MAX_GAP`` words back in a have left, and the range
+    leaves out those that do so in b: a far run never hides a near one.
     """
     order = np.lexsort((found[:, 1], found[:, 0]))
     ends_b = np.unique(found[:, 1] + found[:, 2])
-    tree, score, parent = Fenwick(len(ends_b)), {}, {}
-    waiting = sorted(range(len(found)), key=lambda i: found[i, 0] + found[i, 2])
-    w = 0
-    for i in order:
+    tree, score, parent = RangeMax(len(ends_b)), {}, {}
+    end_a, end_b = found[:, 0] + found[:, 2], found[:, 1] + found[:, 2]
+    rank = np.searchsorted(ends_b, end_b).tolist()
+    waiting = np.argsort(end_a, kind="stable").tolist()
+    w = gone = 0
+    for i in order.tolist():
         a, b, n = (int(x) for x in found[i])
-        while w < len(waiting) and found[waiting[w], 0] + found[waiting[w], 2] <= a:
+        while w < len(waiting) and end_a[waiting[w]] <= a:
             j = waiting[w]
-            if j in score:
-                end_a, end_b = int(found[j, 0] + found[j, 2]), int(found[j, 1] + found[j, 2])
-                tree.add(int(np.searchsorted(ends_b, end_b)), (score[j] + GAP_COST * (end_a + end_b), int(j)))
+            tree.add(rank[j], (score[j] + GAP_COST * int(end_a[j] + end_b[j]), j))
             w += 1
-        value, j = tree.top(int(np.searchsorted(ends_b, b, side="right")))
+        while gone < w and end_a[waiting[gone]] < a - MAX_GAP:
+            tree.drop(rank[waiting[gone]], waiting[gone])
+            gone += 1
+        value, j = tree.top(*np.searchsorted(ends_b, [b - MAX_GAP, b + 1]).tolist())
         gain = value - GAP_COST * (a + b)
-        near = j >= 0 and a - int(found[j, 0] + found[j, 2]) <= MAX_GAP and b - int(found[j, 1] + found[j, 2]) <= MAX_GAP
-        score[i], parent[i] = (n + gain, j) if near and gain > 0 else (n, -1)
+        score[i], parent[i] = (n + gain, j) if j >= 0 and gain > 0 else (n, -1)
     out, used = [], set()
     for i in sorted(score, key=lambda i: (-score[i], i)):
         chain = []

@@ -200,6 +200,30 @@ def test_chains_and_alignment():
     assert passages.align(x, np.delete(x, [40, 60])) == 98
 
 
+def test_a_far_run_hides_no_near_one():
+    found = np.array([[0, 0, 500], [900, 900, 30], [930, 931, 30]])
+    assert [1, 2] in passages.chains(found)
+
+
+def test_chains_against_brute_force():
+    r = random.Random(4)
+    for _ in range(60):
+        found = np.unique(np.array([[r.randrange(300), r.randrange(300), r.randint(8, 60)] for _ in range(40)]), axis=0)
+        best = {}
+        for i in np.lexsort((found[:, 1], found[:, 0])).tolist():
+            a, b, n = found[i].tolist()
+            best[i] = n
+            for j in best:
+                da, db = a - found[j, 0] - found[j, 2], b - found[j, 1] - found[j, 2]
+                if j != i and 0 <= da <= passages.MAX_GAP and 0 <= db <= passages.MAX_GAP:
+                    best[i] = max(best[i], n + best[j] - passages.GAP_COST * (da + db))
+        top = passages.chains(found)[0]
+        score = found[top[0], 2]
+        for j, i in zip(top, top[1:]):
+            score += found[i, 2] - passages.GAP_COST * (found[i, :2] - found[j, :2] - found[j, 2]).sum()
+        assert score == max(best.values())
+
+
 @pytest.mark.parametrize(
     "page,text",
     [

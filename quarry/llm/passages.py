@@ -1,14 +1,14 @@
 r"""Substring dedup: fuzzy passages by collinear chaining of shared k-mer seeds.
 
-Seeds are minimizers: of every ``window`` k-mers of words in a row the one with
-the least hash, so two texts that share ``window + k - 1`` words in a row share a
-seed. Each seed that occurs in several texts is tied to its first holder (the
-least text id), never to all others, so a passage that a million texts share
-makes a million anchors. Anchors of one pair of texts are merged into runs on
-a diagonal; runs are chained in order in both texts with gap costs, the best
-predecessor within the greatest gap found through a tree of range maxima; chains are extended and aligned word by
-word (banded edit distance), and passages of ``min_words`` or more with
-enough equal words are returned. Equal texts are chained once, as one text.
+Seeds are closed syncmers: runs of five words whose least word is the first or
+the last, two in five of all. Each seed that occurs in several texts is tied to its
+first holder (the least text id), never to all others, so a passage that a million
+texts share makes a million anchors. Anchors of one pair of texts are merged
+into runs on a diagonal; runs are chained in order in both texts with gap costs, the
+best predecessor within the greatest gap found through a tree of range maxima;
+chains are extended over replaced, inserted and deleted words and aligned word by
+word (banded edit distance), and passages of ``min_words`` or more with enough equal
+words are returned. Equal texts are chained once, as one text.
 
 Results for odd input: null and empty texts hold no passages; documents with
 equal texts are reported with their common text's passages, and a copy of
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keep, map_arrow, text_id
+from quarry.llm.common import bound_batches, keep, map_arrow, text_id
 from quarry.llm.dartminhash import WORDS, _lists, mix64
 
-K, STEP = 8, 12
+K = 5
+#: Seeds of one diagonal that are no farther apart make one run.
+REACH = 20
 MIN_WORDS = 50
 #: Least share of equal words in an aligned passage.
 MIN_EQUAL = 0.8
@@ -43,23 +45,37 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def minimizers(h: np.ndarray, k: int = K, window: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the k-mers that are least in some window."""
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k words in a row, put together from runs of powers of two."""
+    n = len(h) - k + 1
+    if n < 1:
+        return h[:0]
+    out, done, power, size = np.zeros(n, np.uint64), 0, mix64(h), 1
+    while True:
+        if k & size:
+            out = mix64(out ^ power[done : done + n])
+            done += size
+        if done == k:
+            return out
+        power = mix64(mix64(power[:-size]) ^ power[size:])
+        size *= 2
+
+
+def syncmers(h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the k-mers whose least word is their first or last.
+
+    The choice rests on the k-mer alone, so a changed word near it does not undo
+    it; of any ``k - 1`` k-mers in a row one is chosen.
+    """
     n = len(h) - k + 1
     if n < 1:
         return h[:0], np.zeros(0, np.int64)
-    kmers = np.zeros(n, np.uint64)
-    for i in range(k):
-        kmers = mix64(kmers ^ h[i : i + n])
-    if n <= window:
-        at = np.array([int(kmers.argmin())])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(kmers, window)
-        at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-    return kmers[at], at
-
-
-def runs(a: np.ndarray, b: np.ndarray, k: int = K, reach: int = STEP + K) -> np.ndarray:
+    least = np.lib.stride_tricks.sliding_window_view(mix64(h), k).argmin(axis=1)
+    at = np.flatnonzero((least == 0) | (least == k - 1))
+    return grams(h, k)[at], at
+
+
+def runs(a: np.ndarray, b: np.ndarray, k: int = K, reach: int = REACH) -> np.ndarray:
     """Anchors (a, b) merged along diagonals: rows (start a, start b, length)."""
     order = np.lexsort((a, b - a))
     a, b = a[order], b[order]
@@ -176,54 +192,152 @@ def align(x: np.ndarray, y: np.ndarray, band: int = 16) -> int:
     return head + tail + int(row[-1])
 
 
-def extend(x: np.ndarray, y: np.ndarray, a: int, b: int, step: int) -> tuple[int, int]:
-    """Move a boundary outwards word by word over equal words, and over single replaced words between equal ones."""
+#: Shifts tried after words that differ, cheapest first: words passed over in either text.
+SHIFTS = sorted(((i, j) for i in range(5) for j in range(5) if i or j), key=lambda s: (max(s), abs(s[0] - s[1]), s))
+
+
+def extend(x: list, y: list, a: int, b: int, step: int, penalty: int) -> tuple[int, int]:
+    """Move a boundary outwards over equal words and over replaced, inserted and deleted ones.
+
+    After words that differ the first shift is taken that two equal words follow.
+    Equal words score 1, words passed over lose ``penalty``; the boundary is put
+    where the score is highest, and the search ends 12 below that.
+    """
+    best, score = (a, b), 0
+    top, off = 0, -1 if step < 0 else 0
+    xs, ys = (a, b) if step < 0 else (len(x) - a, len(y) - b)
+    i = j = 0
     while True:
-        i, j = (a - 1, b - 1) if step < 0 else (a, b)
-        if not (0 <= i < len(x) and 0 <= j < len(y)):
-            return a, b
-        if x[i] == y[j]:
-            a, b = a + step, b + step
-        elif 0 <= i + 2 * step < len(x) and 0 <= j + 2 * step < len(y) and x[i + step] == y[j + step] and x[i + 2 * step] == y[j + 2 * step]:
-            a, b = a + 3 * step, b + 3 * step
+        while i < xs and j < ys and x[a + off + i * step] == y[b + off + j * step]:
+            i, j, score = i + 1, j + 1, score + 1
+        if score > top:
+            best, top = (a + i * step, b + j * step), score
+        for di, dj in SHIFTS:
+            if score - penalty * max(di, dj) < top - 12:
+                return best
+            u, v = i + di, j + dj
+            if u + 1 < xs and v + 1 < ys and x[a + off + u * step] == y[b + off + v * step] and x[a + off + (u + 1) * step] == y[b + off + (v + 1) * step]:
+                i, j, score = u, v, score - penalty * max(di, dj)
+                break
         else:
-            return a, b
+            return best
+
+
+SEED = np.dtype([("seed", "<u8"), ("node", "<i8"), ("at", "<i4")])
+TIE = np.dtype([("node", "<i8"), ("ref", "<i8"), ("at", "<i4"), ("ref_at", "<i4")])
+#: Buckets that packed rows are dealt to by the leading bits of their hash.
+BUCKET_BITS = 10
+
+
+def packed(rows: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """(bucket, rows): records as bytes, one value a bucket."""
+    bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*first[1:].tolist(), len(rows)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], names=["bucket", "rows"]
+    )
+
+
+def by_bucket(df: DataFrame, kind: np.dtype, work, schema: str) -> DataFrame:
+    """``work`` on all records of each bucket; a task holds one bucket at a time."""
+    bound_batches(df.sparkSession)
+
+    def each(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and parts:
+                    yield work(np.frombuffer(b"".join(parts), kind))
+                    parts = []
+                now = bucket
+                parts.append(rows.as_py())
+        if parts:
+            yield work(np.frombuffer(b"".join(parts), kind))
+
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, schema)
+
+
+PACKED = "bucket int, rows binary"
+
+
+def seed_rows(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(p[0]) for p in found]
+    rows = np.zeros(sum(sizes), SEED)
+    if len(rows):
+        rows["seed"], rows["at"] = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+        rows["node"] = np.repeat(node, sizes)
+    return packed(rows, rows["seed"])
 
 
 def seeds(docs: DataFrame, *, text_col: str) -> DataFrame:
-    """(seed, node, at): minimizers of each text; a batch's copies are read once."""
+    """Packed ``SEED`` rows of each text; a batch's copies are read once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node = batch.column(0).to_numpy()
-        _, first = np.unique(node, return_index=True)
-        parts = [minimizers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first]
-        sizes = [len(p[0]) for p in parts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.repeat(node[first], sizes)), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32))],
-            names=["seed", "node", "at"],
-        )
+        node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        return seed_rows(node, [syncmers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first])
 
     rows = docs.select(text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    return map_arrow(rows, work, "seed long, node long, at int")
+    return map_arrow(rows, work, PACKED)
 
 
-def chained(anchors: DataFrame) -> DataFrame:
-    """(node, ref, a, a_end, b, b_end) for the chains of each pair; grouped by pair, so a group is bounded by two texts."""
+def ties(held: DataFrame) -> DataFrame:
+    """Packed ``TIE`` rows: each place of a seed that several texts hold with the seed's first holder, itself included."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, ref, at, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
-        for i, pairs in enumerate(batch.column(2)):
-            found = runs(*(np.array(pairs.values.field(c)).astype(np.int64) for c in (0, 1)))
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.lexsort((rows["at"], rows["node"], rows["seed"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = rows["seed"][1:] != rows["seed"][:-1]
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(rows)]]) - 1
+        sizes = last - first + 1
+        shared = np.repeat(rows["node"][first] != rows["node"][last], sizes)
+        lead = np.repeat(first, sizes)[shared]
+        rows_in = rows[shared]
+        out = np.zeros(len(rows_in), TIE)
+        out["node"], out["at"], out["ref"], out["ref_at"] = rows_in["node"], rows_in["at"], rows["node"][lead], rows["at"][lead]
+        return packed(out, mix64(out["node"].astype(np.uint64)))
+
+    return by_bucket(held, SEED, work, PACKED)
+
+
+def cuts(*columns: np.ndarray) -> np.ndarray:
+    """Bounds of the stretches in which all columns stay the same."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.append(np.flatnonzero(new), len(new))
+
+
+SPANS = "node long, ref long, a int, a_end int, b int, b_end int"
+
+
+def span_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = np.array(rows, np.int64).reshape(-1, 6)
+    return pa.RecordBatch.from_arrays([pa.array(cols[:, j], pa.int64() if j < 2 else pa.int32()) for j in range(6)], names=["node", "ref", "a", "a_end", "b", "b_end"])
+
+
+def chained(tied: DataFrame) -> DataFrame:
+    """Chains of each pair of texts."""
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        out = []
+        rows = rows[np.lexsort((rows["at"], rows["node"]))]
+        rows = rows[rows["node"] != rows["ref"]]
+        rows = rows[np.lexsort((rows["at"], rows["ref"], rows["node"]))]
+        bounds = cuts(rows["node"], rows["ref"])
+        several = np.flatnonzero(np.diff(bounds) > 1)
+        for i, j in zip(bounds[several].tolist(), bounds[several + 1].tolist()):
+            found = runs(rows["at"][i:j].astype(np.int64), rows["ref_at"][i:j].astype(np.int64))
+            node, ref = int(rows["node"][i]), int(rows["ref"][i])
             for chain in chains(found):
                 head, tail = found[chain[0]], found[chain[-1]]
                 if tail[0] + tail[2] - head[0] >= 2 * K:
-                    at.append(i)
-                    lists.append((head[0], tail[0] + tail[2], head[1], tail[1] + tail[2]))
-        cols = np.array(lists, np.int32).reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ref[at]), *[pa.array(cols[:, j]) for j in range(4)]], names=["node", "ref", "a", "a_end", "b", "b_end"])
+                    out.append((node, ref, head[0], tail[0] + tail[2], head[1], tail[1] + tail[2]))
+        return span_rows(out)
 
-    grouped = anchors.groupBy("node", "ref").agg(F.collect_set(F.struct("at", "ref_at")).alias("pairs")).where(F.size("pairs") > 1)
-    return map_arrow(grouped, work, "node long, ref long, a int, a_end int, b int, b_end int")
+    return by_bucket(tied, TIE, work, SPANS)
 
 
 #: Words on either side of a chain that are fetched for extension.
@@ -235,11 +349,8 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Ends are exclusive; places count words. ``equal`` is the number of aligned equal words.
     """
-    held = keep(seeds(docs, text_col=text_col))
-    first = held.groupBy("seed").agg(F.min(F.struct("node", "at")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
-    first = first.where("low <> high").select("seed", F.col("first.node").alias("ref"), F.col("first.at").alias("ref_at"))
-    anchors = held.join(first, "seed").where("node <> ref").select("node", "ref", "at", "ref_at")
-    spans = keep(chained(anchors).withColumn("pair", F.monotonically_increasing_id()))
+    spans = chained(ties(seeds(docs, text_col=text_col)))
+    spans = keep(spans.distinct().withColumn("pair", F.monotonically_increasing_id()))
     # both sides of every chain ask for their words; texts are shuffled once
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(
         spans.select(F.col("ref").alias("text_node"), "pair", F.lit(1).alias("side"), F.col("b").alias("low"), F.col("b_end").alias("high"))
@@ -265,19 +376,24 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for i in range(batch.num_rows):
             x, y = (batch.column(n)[i].values.to_numpy() for n in ("wa", "wb"))
             fa, fb = cols["fa"][i], cols["fb"][i]
-            a, b = extend(x, y, cols["a"][i] - fa, cols["b"][i] - fb, -1)
-            ae, be = extend(x, y, cols["a_end"][i] - fa, cols["b_end"][i] - fb, 1)
-            if min(ae - a, be - b) >= min_words:
+            lx, ly = x.tolist(), y.tolist()
+            # a far extension that makes the whole too unequal is tried again more strictly
+            for penalty in (2, 4):
+                a, b = extend(lx, ly, cols["a"][i] - fa, cols["b"][i] - fb, -1, penalty)
+                ae, be = extend(lx, ly, cols["a_end"][i] - fa, cols["b_end"][i] - fb, 1, penalty)
+                if min(ae - a, be - b) < min_words:
+                    break
                 equal = align(x[a:ae], y[b:be])
                 if equal >= min_equal * max(ae - a, be - b):
                     at.append(i)
                     rows.append((a + fa, ae + fa, b + fb, be + fb, equal))
+                    break
         out = np.array(rows, np.int64).reshape(-1, 5)
         picked = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("node").take(picked), batch.column("ref").take(picked), *[pa.array(out[:, j]) for j in range(5)]], names=["node", "ref", "start", "end", "ref_start", "ref_end", "equal"])
 
     ready = spans.join(both, "pair").select("node", "ref", "a", "a_end", "b", "b_end", "fa", "wa", "fb", "wb")
-    return map_arrow(ready, aligned, "node long, ref long, start long, end long, ref_start long, ref_end long, equal long")
+    return map_arrow(ready, aligned, "node long, ref long, start long, end long, ref_start long, ref_end long, equal long").distinct()
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

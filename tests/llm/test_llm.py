@@ -200,6 +200,34 @@ def test_chains_and_alignment():
     assert passages.align(x, np.delete(x, [40, 60])) == 98
 
 
+def test_syncmers_leave_no_gap():
+    h = np.random.default_rng(1).integers(0, 30, 5000).astype(np.uint64)
+    at = passages.syncmers(h)[1]
+    assert at[0] < passages.K and np.diff(at).max() < passages.K
+    assert all((passages.grams(h, n)[:-1] == passages.grams(h[:-1], n)).all() for n in (1, 5, 50))
+
+
+def altered(words, every, r):
+    """One word in ``every`` replaced, taken out or put in, at random places."""
+    out = []
+    for w in words:
+        x = r.random() * every
+        out.extend([w] if x >= 1 else [] if x < 0.2 else [w, "new"] if x < 0.4 else ["other"])
+    return out
+
+
+def test_passages_with_many_changed_words(spark):
+    r, rows = random.Random(6), []
+    for i in range(60):
+        shared = prose(7000 + i, 75).split()
+        rows.append((2 * i, " ".join([prose(8000 + i, 40), *shared, prose(9000 + i, 40)]), "a"))
+        rows.append((2 * i + 1, " ".join([prose(10000 + i, 30), *altered(shared, 10, r), prose(11000 + i, 50)]), "a"))
+    out = passages.op4_collinear_passages(make(spark, rows)).collect()
+    pairs = {frozenset((x["doc_id"], x["ref_doc_id"])) for x in out}
+    assert all(len({i // 2 for i in p}) == 1 for p in pairs)
+    assert len(pairs) >= 55
+
+
 def test_a_far_run_hides_no_near_one():
     found = np.array([[0, 0, 500], [900, 900, 30], [930, 931, 30]])
     assert [1, 2] in passages.chains(found)

@@ -10,6 +10,13 @@ chains are extended over replaced, inserted and deleted words and aligned word b
 word (banded edit distance), and passages of ``min_words`` or more with enough equal
 words are returned. Equal texts are chained once, as one text.
 
+The pieces of a passage may have different first holders, none of which holds it
+whole. So where all seeds are shared, every window of ``min_words`` words that does
+not lie within the seeds of one first holder is tied to its own first holder:
+any ``min_words`` equal words in a row that an earlier text holds are reported with a
+text that holds them, without a cap. For passages that differ in words there is no such
+promise: they need two shared seeds with a common first holder.
+
 Results for odd input: null and empty texts hold no passages; documents with
 equal texts are reported with their common text's passages, and a copy of
 ``min_words`` or more is itself a passage of the least doc_id of its text; null
@@ -310,6 +317,28 @@ def cuts(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
+def open_stretches(at: np.ndarray, ref: np.ndarray, shift: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Stretches of one text, as first and last start, of the ``width`` words in a row that need a look of their own.
+
+    These are the windows all of whose seeds other texts hold, less those that lie
+    within the seeds of one first holder on one diagonal, as that holder has them whole.
+    """
+    out = []
+    far = np.append(np.insert(np.flatnonzero(np.diff(at) >= K) + 1, 0, 0), len(at))
+    for i, j in zip(far[:-1].tolist(), far[1:].tolist()):
+        low, high = max(0, int(at[i]) - K + 2), int(at[j - 1]) + 2 * K - 2 - width
+        if high < low:
+            continue
+        look = np.ones(high - low + 1, bool)
+        bounds = cuts(ref[i:j], shift[i:j]) + i
+        for u, v in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if (end := int(at[v - 1]) + K - width) >= at[u]:
+                look[at[u] - low : end - low + 1] = False
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], look.view(np.int8), [0]])))
+        out.extend((low + int(a), low + int(b) - 1) for a, b in zip(edges[::2], edges[1::2]))
+    return out
+
+
 SPANS = "node long, ref long, a int, a_end int, b int, b_end int"
 
 
@@ -318,12 +347,17 @@ def span_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[:, j], pa.int64() if j < 2 else pa.int32()) for j in range(6)], names=["node", "ref", "a", "a_end", "b", "b_end"])
 
 
-def chained(tied: DataFrame) -> DataFrame:
-    """Chains of each pair of texts."""
+def chained(tied: DataFrame, width: int) -> DataFrame:
+    """Chains of each pair of texts, and (with ``ref`` = ``node`` and ``b`` = -1) the open stretches of each text."""
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         out = []
         rows = rows[np.lexsort((rows["at"], rows["node"]))]
+        shift = rows["ref_at"] - rows["at"]
+        bounds = cuts(rows["node"])
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            node = int(rows["node"][i])
+            out.extend((node, node, low, high, -1, -1) for low, high in open_stretches(rows["at"][i:j], rows["ref"][i:j], shift[i:j], width))
         rows = rows[rows["node"] != rows["ref"]]
         rows = rows[np.lexsort((rows["at"], rows["ref"], rows["node"]))]
         bounds = cuts(rows["node"], rows["ref"])
@@ -340,6 +374,36 @@ def chained(tied: DataFrame) -> DataFrame:
     return by_bucket(tied, TIE, work, SPANS)
 
 
+def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col: str) -> DataFrame:
+    """Spans of windows of ``width`` equal words in the open stretches, each tied to its own first holder."""
+    asked = stretches.groupBy("node").agg(F.collect_set(F.struct("a", "a_end")).alias("asked"))
+    texts = docs.select(text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(asked.hint("merge"), "node")
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        found = []
+        for i in first:
+            h, at, keys = word_hashes(batch.column(1)[int(i)].as_py()), [], []
+            for s in batch.column(2)[int(i)].as_py():
+                keys.append(grams(h[s["a"] : s["a_end"] + width], width))
+                at.append(s["a"] + np.arange(len(keys[-1])))
+            found.append((np.concatenate(keys), np.concatenate(at)))
+        return seed_rows(node, found)
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        out = []
+        rows = rows[rows["node"] != rows["ref"]]
+        rows = rows[np.lexsort((rows["at"], rows["ref"], rows["node"]))]
+        bounds = cuts(rows["node"], rows["ref"])
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            node, ref = int(rows["node"][i]), int(rows["ref"][i])
+            for a, b, n in runs(rows["at"][i:j].astype(np.int64), rows["ref_at"][i:j].astype(np.int64), width, width).tolist():
+                out.append((node, ref, a, a + n, b, b + n))
+        return span_rows(out)
+
+    return by_bucket(ties(map_arrow(texts, windows, PACKED)), TIE, work, SPANS)
+
+
 #: Words on either side of a chain that are fetched for extension.
 MARGIN = 64
 
@@ -349,7 +413,9 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Ends are exclusive; places count words. ``equal`` is the number of aligned equal words.
     """
-    spans = chained(ties(seeds(docs, text_col=text_col)))
+    told = keep(chained(ties(seeds(docs, text_col=text_col)), min_words))
+    stretches = told.where("b < 0").select("node", "a", "a_end")
+    spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, text_col=text_col))
     spans = keep(spans.distinct().withColumn("pair", F.monotonically_increasing_id()))
     # both sides of every chain ask for their words; texts are shuffled once
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(

@@ -200,6 +200,36 @@ def test_chains_and_alignment():
     assert passages.align(x, np.delete(x, [40, 60])) == 98
 
 
+def held_windows(texts, n):
+    """(text, start) of every n words in a row that another text holds too."""
+    held = {}
+    for i, w in texts.items():
+        for p in range(len(w) - n + 1):
+            held.setdefault(tuple(w[p : p + n]), set()).add((i, p))
+    return {x for places in held.values() if len({i for i, _ in places}) > 1 for x in places}
+
+
+def test_mosaic_passages_against_brute_force(spark):
+    r = random.Random(5)
+    pieces = [prose(2000 + i, r.randint(8, 40)) for i in range(12)]
+    rows = [(i, " ".join([prose(3000 + i, 20), pieces[i], prose(4000 + i, 20)]), "a") for i in range(12)]
+    for i in range(40):
+        mosaic = " ".join(pieces[j] for j in r.sample(range(12), 4))
+        for k in range(2):
+            words = mosaic.split()
+            low = r.randint(0, 8)
+            rows.append((100 + 2 * i + k, " ".join([prose(5000 + 2 * i + k, 15), *words[low : len(words) - r.randint(0, 8)], prose(6000 + 2 * i + k, 15)]), "a"))
+    texts = {i: t.split() for i, t, _ in rows}
+    out = passages.op4_collinear_passages(make(spark, rows)).collect()
+    told = {}
+    for x in out:
+        told.setdefault(x["doc_id"], []).append((x["start"], x["end"]))
+        told.setdefault(x["ref_doc_id"], []).append((x["ref_start"], x["ref_end"]))
+    wanted = held_windows(texts, passages.MIN_WORDS)
+    assert len(wanted) > 500
+    assert not [(i, p) for i, p in wanted if not any(a <= p and p + passages.MIN_WORDS <= b for a, b in told.get(i, ()))]
+
+
 def test_syncmers_leave_no_gap():
     h = np.random.default_rng(1).integers(0, 30, 5000).astype(np.uint64)
     at = passages.syncmers(h)[1]

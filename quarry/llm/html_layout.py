@@ -6,6 +6,8 @@ content and reads raw text elements verbatim; the renderer walks the tree, leave
 out what is not visible, and lays out the rest: blank lines between blocks, list
 markers with nesting, preformatted text as it is, and tables with aligned columns.
 
+A head ends at the first tag or text that it cannot hold.
+
 Not visible are head, script, style, template, noscript and the like, form values,
 elements with ``hidden`` or ``aria-hidden="true"``, and those whose inline style has
 ``display: none`` or ``visibility: hidden``.
@@ -30,7 +32,7 @@ from quarry.llm.common import map_arrow
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas svg math select datalist textarea input button noembed noframes meta link base area param source track col colgroup".split())
+UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas svg annotation annotation-xml select datalist textarea input noembed noframes meta link base area param source track col colgroup".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption".split())
 #: Blocks set off by a blank line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure hr article section".split())
@@ -49,6 +51,8 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: What a head may hold; any other start tag, and text that is not blank, ends it.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 #: Block starts end an open paragraph; these elements shield paragraphs outside of them.
 SHIELDS = frozenset("table td th caption button object html body".split())
 
@@ -99,14 +103,19 @@ def parse(page: str) -> Node:
                 del stack[i:]
                 return
 
+    def text(s: str) -> None:
+        if stack[-1].name == "head" and BLANK.sub("", s):
+            stack.pop()
+        stack[-1].children.append(html.unescape(s))
+
     while True:
         m = TAG.search(page, at)
         if m is None:
             if at < len(page):
-                stack[-1].children.append(html.unescape(page[at:]))
+                text(page[at:])
             return root
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         if not m["name"]:
             continue
@@ -119,6 +128,10 @@ def parse(page: str) -> Node:
                 if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                     break
             continue
+        if stack[-1].name == "head" and name not in HEAD:
+            stack.pop()
+        if name == "button":
+            close({"button"}, SHIELDS - {"button"})
         if name in CLOSES:
             close(*CLOSES[name])
         if name in BLOCK and name not in ("html", "body"):
@@ -269,7 +282,10 @@ def table(node: Node, depth: int) -> list[str]:
                 if child.name == "tr":
                     rows.append([])
                     for cell in child.children:
-                        if isinstance(cell, Node) and cell.visible():
+                        if isinstance(cell, str):
+                            if cell.strip():
+                                before.append(BLANK.sub(" ", cell).strip())
+                        elif cell.visible():
                             rows[-1].append(line(cell))
                             span = cell.attr("colspan") or "1"
                             rows[-1].extend([""] * (min(int(span), 100) - 1 if re.fullmatch("[0-9]{1,4}", span) and int(span) > 1 else 0))

@@ -302,6 +302,22 @@ def test_html(page, text):
     assert html_layout.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<head><title>x</title><p>a", "a"),
+        ("<html><head><meta charset=utf-8><title>x</title> text <b>b</b>", "text b"),
+        ("<head><title>x</title></head><p>a", "a"),
+        ("<p>a <button>b</button> c", "a b c"),
+        ("<button>a<p>b", "a\n\nb"),
+        ("x <math><mi>y</mi><mo>=</mo><mn>2</mn></math>", "x y=2"),
+        ("<table><tr>stray<td>a<td>b</table>", "stray\na  b"),
+    ],
+)
+def test_html_emits_all_visible_text(page, text):
+    assert html_layout.render(page) == text
+
+
 def test_deep_html():
     assert "x" in html_layout.render("<div>" * 5000 + "x") and html_layout.render("<table><tr><td>" * 300 + "x")
 

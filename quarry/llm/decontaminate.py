@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,16 +118,26 @@ class Shard:
             found = found[other[at] == found + k]
         return found
 
-    def near(self, window: np.ndarray, span: int, rarest: int = 4) -> np.ndarray:
-        """Positions of the rarest term with the next rarest terms, in any order, within ``span`` words."""
-        order = window[np.argsort(self.df[window], kind="stable")]
-        order = order[np.sort(np.unique(order, return_index=True)[1])][:rarest]
+    def near(self, window: np.ndarray, span: int, df: np.ndarray, rarest: int = 4) -> np.ndarray:
+        """Positions of the rarest term with the next rarest terms of the same document, in any order, within ``span`` words.
+
+        ``df`` tells how rare terms are among all documents; terms that none of them
+        has are passed over, but ``rarest`` terms (or all of a shorter window) must be left.
+        """
+        terms = window[np.sort(np.unique(window, return_index=True)[1])]
+        known = terms[df[terms] > 0]
+        if len(known) < min(rarest, len(terms)):
+            return self.positions[:0]
+        order = known[np.argsort(df[known], kind="stable")][:rarest]
         found = self.postings(order[0])
         for term in order[1:]:
             if not len(found):
                 break
             other = self.postings(term)
-            found = found[np.searchsorted(other, found - span) < np.searchsorted(other, found + span, side="right")]
+            at = self.document_of(found)
+            low = np.maximum(found - span, np.array(self.first)[at])
+            high = np.minimum(found + span, np.array(self.first)[at] + np.array(self.count)[at] - 1)
+            found = found[np.searchsorted(other, low) < np.searchsorted(other, high, side="right")]
         return found
 
     def document_of(self, positions: np.ndarray) -> np.ndarray:
@@ -309,19 +320,39 @@ def search_index(spark: SparkSession, path: str, phrases: list[list[str]]) -> Da
     return out if out is not None else spark.createDataFrame([], "phrase int, doc_id long, start int")
 
 
+def frequencies(docs: DataFrame, block, n: int) -> np.ndarray:
+    """The number of documents that hold each of the block's terms; bounded by the block."""
+
+    def each(batches):
+        for batch in batches:
+            terms = _phrases(block, n).terms
+            counts = Counter(t for text in batch.column(0).to_pylist() for t in terms.keys() & set(tokens(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([terms[t] for t in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+    out = np.zeros(len(_phrases(block, n).terms), np.int64)
+    for row in docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["term"]] = row["n"]
+    return out
+
+
 def proximity(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", n: int = WINDOW, span: int = 2 * WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Proximity matches: (doc_id, item_id, position) where a window's rarest terms meet within ``span`` words."""
+    """Proximity matches: (doc_id, item_id, position) where a window's rarest terms meet within ``span`` words.
+
+    Rarest by the documents of the whole table, counted once, so that matches don't hang on its partitions.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def each(batches, block):
+    def each(batches, block, df):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             phrases = _phrases(block, n)
             shard = Shard(batch.column(1).to_pylist(), phrases)
             found = set()
-            for w in shard.candidates(phrases):
-                where = shard.near(phrases.windows[w], span)
+            for w in range(len(phrases.windows)):
+                where = shard.near(phrases.windows[w], span, df.value)
                 for d, p in zip(shard.document_of(where), where):
                     found.update((int(d), int(p) - shard.first[d], str(phrases.items[o])) for o in phrases.owners[w])
             rows = sorted(found)
@@ -332,7 +363,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     cols = docs.select(F.col(id_col).alias("doc_id"), "text")
     parts = [
-        cols.mapInArrow(lambda it, b=block: each(it, b), f"doc_id {id_type}, item_id string, position long")
+        cols.mapInArrow(lambda it, b=block, df=spark.sparkContext.broadcast(frequencies(docs, block, n)): each(it, b, df), f"doc_id {id_type}, item_id string, position long")
         for block in blocks(spark, benchmark, "item_id", "text", block_bytes)
     ]
     out = parts[0]

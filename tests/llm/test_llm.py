@@ -164,6 +164,17 @@ def test_stored_index_and_proximity(spark, tmp_path):
     assert {r["doc_id"] for r in decontaminate.proximity(docs, bench, span=3).collect()} == {1, 2, 3}
 
 
+def test_proximity_does_not_hang_on_partitions(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, item.replace("thirteen", "other"), "a"), (2, "thirteen " + prose(1, 30), "a"), (3, "one two three", "a"), (4, "four five six", "a")]
+    rows += [(10 + i, "thirteen " + prose(20 + i, 9), "a") for i in range(5)]
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    one, many = (
+        {(r["doc_id"], r["position"]) for r in decontaminate.proximity(make(spark, rows).repartition(k), bench).collect()} for k in (1, len(rows))
+    )
+    assert one == many and {d for d, _ in one} == {1}
+
+
 def test_rules_are_learned(spark):
     r = random.Random(1)
     rows, lab = [], []

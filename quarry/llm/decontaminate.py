@@ -268,12 +268,23 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (SHARE * n_hit >= n_words)
 
 
+def holds_window(hit_runs: Column, n: int = WINDOW) -> Column:
+    """Whether ``n`` or more hit words stand in a row: a whole window of an item, or short items side by side."""
+    lengths = F.transform(hit_runs, lambda end, i: F.when(i % 2 == 1, end - F.get(hit_runs, i - 1)).otherwise(F.lit(0)))
+    return F.exists(lengths, lambda length: length >= n)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, columns unchanged."""
+    """The documents that hold no whole window of an item and are not contaminated by share, columns unchanged.
+
+    A window of ``n`` words is proof whatever the document's length; items shorter than a
+    window, which common phrases may equal, only count by their share of the document.
+    """
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
     out = mark(row, benchmark.withColumnRenamed(options.pop("item_text_col", "text"), "_text"), text_col="_text", carry=[F.col("_row")], **options)
-    return out.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*[F.col("_row")[c].alias(c) for c in names])
+    leaked = holds_window(F.col("hit_runs"), options.get("n", WINDOW)) | contaminated(F.col("n_hit"), F.col("n_words"))
+    return out.where(~leaked).select(*[F.col("_row")[c].alias(c) for c in names])
 
 
 def write_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -116,6 +116,8 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 OFFSETS = (-2, -1, 0, 1)
+#: Score that no other label of a word reaches.
+CERTAIN = 1e6
 
 
 def labelled_table(n: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
@@ -248,7 +250,10 @@ class Crf:
             rows += (0, 0)
         n = len(rows) - 2
         at = np.array([*rows, 0], np.int64)
-        return sum(self.scores[at[2 + o : 2 + o + n], j] for j, o in enumerate(OFFSETS))
+        out = sum(self.scores[at[2 + o : 2 + o + n], j] for j, o in enumerate(OFFSETS))
+        # the empty words have no label, so no path runs from one text into the next
+        out[at[2 : 2 + n] == 0, 0] = CERTAIN
+        return out
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The best label of each word, 0 where none; sequences are cut at certain words."""

@@ -70,6 +70,12 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_pair(text: Column) -> tuple[Column, Column]:
+    """A 128-bit identity of a whole text, as two numbers; null and empty texts share one."""
+    value = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(7), value), F.xxhash64(F.lit(1 << 40), value)
+
+
 def text_id(text: Column) -> Column:
     """A 64-bit identity of a whole text; null and empty texts share one."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7))

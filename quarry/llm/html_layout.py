@@ -5,17 +5,26 @@ tags (``p``, ``li``, table parts, options and so on), gives void elements no
 content and reads raw text elements verbatim; the renderer walks the tree, leaves
 out what is not visible, and lays out the rest: blank lines between blocks, list
 markers with nesting, preformatted text as it is, and tables with aligned columns.
+Both take time in proportion to the page and what it renders to: the places of open elements
+are kept by name, so no tag searches the open ones.
 
 A head ends at the first tag or text that it cannot hold.
 
-Not visible are head, script, style, template, noscript and the like, form values,
+Not visible are head, script, style, template, noscript and the like, closed dialogs,
 elements with ``hidden`` or ``aria-hidden="true"``, and those whose inline style has
-``display: none`` or ``visibility: hidden``.
-
-Results for odd input: null pages give null text; empty ones the empty text; broken
-markup never fails: stray end tags are ignored, open elements end with the page,
-a ``<`` that starts no tag is text; repeated pages get equal text; an empty
-table gives no rows; other columns are ignored.
+``display: none`` or ``visibility: hidden``. Form text is visible: buttons, options and their
+groups' labels, text areas, and the values of inputs that show one.
+
+Bounds of the layout, which lose no text: cells align up to ``MAX_WIDTH`` characters, a longer cell
+only shifts the rest of its own row, and within the first ``MAX_LINE`` characters of a line; cells
+that start in the first ``MAX_HELD`` columns hold room in rows below; indentation stops at ``MAX_INDENT`` levels; tables
+nested deeper than ``MAX_TABLES`` are laid out as plain blocks; spans are read up to the HTML standard's
+greatest, 1000 columns and 65,534 rows.
+
+Results for odd input: null pages give null text; empty ones the empty text; very long ones are rendered
+whole; broken markup never fails: stray end tags are ignored, open elements end with the page,
+a ``<`` that starts no tag is text, and a tag that the page's end cuts off is none of it; repeated
+pages get equal text; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +41,9 @@ from quarry.llm.common import map_arrow
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas svg annotation annotation-xml select datalist textarea input noembed noframes meta link base area param source track col colgroup".split())
+UNSEEN = frozenset("head script style template noscript title iframe object video audio canvas desc metadata annotation annotation-xml datalist noembed noframes meta link base area param source track col colgroup".split())
+#: Inputs that show no value as text.
+VALUELESS = frozenset("hidden checkbox radio password file color range image".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption".split())
 #: Blocks set off by a blank line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure hr article section".split())
@@ -56,12 +67,14 @@ HEAD = frozenset("base basefont bgsound link meta title noscript noframes script
 #: Block starts end an open paragraph; these elements shield paragraphs outside of them.
 SHIELDS = frozenset("table td th caption button object html body".split())
 
-TAG = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+OPENING = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*))")
+#: The rest of a tag. A quote after ``=`` holds all up to its pair; any other is an ordinary character.
+REST = re.compile(r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
+#: Bounds of the layout, see above.
+MAX_WIDTH, MAX_LINE, MAX_HELD, MAX_INDENT, MAX_TABLES, MAX_COLSPAN, MAX_ROWSPAN = 80, 1000, 100, 40, 40, 1000, 65534
 
 
 class Node:
@@ -76,9 +89,17 @@ class Node:
                 return html.unescape(m[2] or m[3] or m[4] or "")
         return None
 
+    def number(self, name: str, default: int, least: int, most: int) -> int:
+        found = re.match(r"\s*([0-9]+)", self.attr(name) or "")
+        digits = found[1].lstrip("0") if found else None
+        value = default if digits is None else most if len(digits) > 9 else int(digits or 0)
+        return min(value, most) if value >= least else default
+
     def visible(self) -> bool:
         if self.name in UNSEEN:
             return False
+        if self.name == "dialog" and self.attr("open") is None:
+            return False
         if not self.attrs or self.attrs.isspace():
             return True
         if self.attr("hidden") is not None or (self.attr("aria-hidden") or "").strip().lower() == "true":
@@ -87,64 +108,98 @@ class Node:
         return not (style and HIDDEN_STYLE.search(style))
 
 
+#: An end tag of another name does not leave these.
+CELLS = frozenset("table td th".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot html body".split())
+
+
+class Open:
+    """The open elements, and for each name where they stand."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """End the element at a place and all within it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of some names; 0 if there is none."""
+        return max((found[-1] for n in names if (found := self.places.get(n))), default=0)
+
+    def close(self, names, bounds) -> None:
+        """A start tag ends the innermost open element of ``names`` inside ``bounds``, and those of ``names`` right around it."""
+        at = self.last(names)
+        if at and at > self.last(bounds):
+            while at > 1 and self.stack[at - 1].name in names:
+                at -= 1
+            self.cut(at)
+
+    def end(self, name: str) -> None:
+        """An end tag; one without its start is ignored, as is one that would leave a table's cell."""
+        at = self.last((name,))
+        if at and (name in TABLE_PARTS or at >= self.last(CELLS)):
+            self.cut(at)
+
+
 def parse(page: str) -> Node:
     """The page's tree."""
     root = Node("#root")
-    stack, at = [root], 0
-
-    def close(names, bounds) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in bounds:
-                return
-            if stack[i].name in names:
-                # the outermost of them inside the boundary ends, and all within it
-                while i > 1 and stack[i - 1].name in names and stack[i - 1].name not in bounds:
-                    i -= 1
-                del stack[i:]
-                return
+    opened = Open(root)
+    stack = opened.stack
 
     def text(s: str) -> None:
         if stack[-1].name == "head" and BLANK.sub("", s):
-            stack.pop()
+            opened.cut(len(stack) - 1)
         stack[-1].children.append(html.unescape(s))
 
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
-            if at < len(page):
-                text(page[at:])
-            return root
+    at = 0
+    while m := OPENING.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
-        if not m["name"]:
+        if m["comment"]:
+            at = page.find("-->", m.end())
+            at = at + 3 if at >= 0 else len(page)
             continue
+        if m["other"]:
+            at = page.find(">", m.end()) + 1 or len(page)
+            continue
+        rest = REST.match(page, m.end())
+        if rest is None:  # the page ends inside the tag
+            return root
+        at = rest.end()
         name = m["name"].lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            opened.end(name)
             continue
         if stack[-1].name == "head" and name not in HEAD:
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if name == "button":
-            close({"button"}, SHIELDS - {"button"})
+            opened.close({"button"}, SHIELDS - {"button"})
         if name in CLOSES:
-            close(*CLOSES[name])
+            opened.close(*CLOSES[name])
         if name in BLOCK and name not in ("html", "body"):
-            close({"p"}, SHIELDS)
-        node = Node(name, m["attrs"])
+            opened.close({"p"}, SHIELDS)
+        node = Node(name, rest["attrs"])
         stack[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
-            node.children.append(page[at:stop])
-            at = end.end() if end else len(page)
+            held = page[at:stop]
+            node.children.append(html.unescape(held.removeprefix("\n")) if name == "textarea" else held)
+            after = page.find(">", stop) if end else -1
+            at = after + 1 if after >= 0 else len(page)
         elif name not in VOID:  # "/>" ends no element of HTML
-            stack.append(node)
+            opened.push(node)
+    if at < len(page):
+        text(page[at:])
+    return root
 
 
 class Page:
@@ -155,9 +210,13 @@ class Page:
         self.now: list[str] = []
         self.space = False
         self.gap = 0
-        self.indent = ""
+        self.depth = 0
         self.marker = ""
 
+    @property
+    def indent(self) -> str:
+        return "  " * min(self.depth, MAX_INDENT)
+
     def text(self, s: str) -> None:
         parts = BLANK.split(s)
         if len(parts) == 1 and not parts[0]:
@@ -191,13 +250,9 @@ class Page:
         self.gap |= blank
 
 
-#: Tables nested deeper than this are laid out as plain blocks.
-DEPTH = 40
-
-
-def walk(node: Node, page: Page, depth: int = 0) -> None:
-    # an explicit stack: pages may nest deeper than Python recurses
-    todo: list = [("open", node, (), False)]
+def walk(node: Node, page: Page, tables: int = 0) -> None:
+    # an explicit stack: pages may nest deeper than Python recurses; a list is (the lists around it, its kind, next number, depth)
+    todo: list = [("open", node, None, False)]
     while todo:
         what, node, lists, pre = todo.pop()
         if what == "close":
@@ -231,9 +286,18 @@ def walk(node: Node, page: Page, depth: int = 0) -> None:
             if alt := node.attr("alt"):
                 page.text(f" {alt} ")
             continue
-        if name == "table" and depth < DEPTH:
+        if name == "input":
+            kind = (node.attr("type") or "").strip().lower()
+            if value := node.attr("alt" if kind == "image" else "value") if kind == "image" or kind not in VALUELESS else None:
+                page.text(f" {value} ")
+            continue
+        if name in ("select", "option", "optgroup", "textarea"):
+            page.text(" ")
+            if name == "optgroup" and (label := node.attr("label")):
+                page.text(f"{label} ")
+        if name == "table" and tables < MAX_TABLES:
             page.block(True)
-            for line in table(node, depth + 1):
+            for line in table(node, tables + 1):
                 page.put(page.indent + page.marker + line)
                 page.marker = " " * len(page.marker)
             page.block(True)
@@ -241,74 +305,130 @@ def walk(node: Node, page: Page, depth: int = 0) -> None:
         block, blank = name in BLOCK, name in SPACED and not (lists and name in ("ul", "ol", "menu"))
         if block:
             page.block(blank)
-        before = page.indent, page.marker
+        before = page.depth, page.marker
         if name in ("ul", "ol", "menu"):
             start = node.attr("start") or "1"
-            lists = (*lists, [name, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+            lists = [lists, name, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1, lists[3] + 1 if lists else 0]
         elif name == "li":
-            page.indent = "  " * max(0, len(lists) - 1)
+            page.depth = lists[3] if lists else 0
             page.marker = "- "
-            if lists and lists[-1][0] == "ol":
-                page.marker = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+            if lists and lists[1] == "ol":
+                page.marker = f"{lists[2]}. "
+                lists[2] += 1
         elif name in ("blockquote", "dd"):
-            page.indent += "  "
+            page.depth += 1
         elif name == "pre":
             pre = True
 
-        def leave(before=before, block=block, blank=blank, is_pre=name == "pre"):
-            if is_pre and page.now:
+        def leave(before=before, block=block, blank=blank, name=name):
+            if name == "pre" and page.now:
                 page.put(page.indent + page.marker + "".join(page.now))
                 page.now = []
             if block:
                 page.block(blank)
-                page.indent, page.marker = before[0], " " * len(before[1])
+                page.depth, page.marker = before[0], " " * len(before[1])
+            elif name in ("select", "option", "optgroup", "textarea"):
+                page.text(" ")
 
         todo.append(("close", None, leave, False))
         todo.extend(("open", c, lists, pre) for c in reversed(node.children))
 
 
-def table(node: Node, depth: int) -> list[str]:
-    """Rows of a table with columns padded to their widest cell."""
-    rows: list[list[str]] = []
+def table(node: Node, tables: int) -> list[str]:
+    """Rows of a table; cells start at their columns, which are as wide as their widest cell within ``MAX_WIDTH``.
+
+    Columns in which no cell with text starts take no room.
+    """
+    rows: list[list[tuple[int, str]]] = []
     before: list[str] = []
+    # columns held by cells of rows above: (first, end) to the number of the row that is free of it
+    held: list[tuple[int, int, int]] = []
+
+    def stray(child) -> None:
+        if isinstance(child, str):
+            if child.strip():
+                before.append(BLANK.sub(" ", child).strip())
+        elif child.visible():
+            before.append(line(child))
+
+    def row(cells: list) -> None:
+        nonlocal held
+        number, at, own = len(rows), 0, []
+        held = sorted(h for h in held if h[2] > number)
+        i = 0
+        for cell in cells:
+            if isinstance(cell, str) or cell.name not in ("td", "th"):
+                stray(cell)
+                continue
+            if not cell.visible():
+                continue
+            while i < len(held) and held[i][0] <= at:
+                at, i = max(at, held[i][1]), i + 1
+            text = line(cell)
+            if text:
+                own.append((at, text))
+            end = at + cell.number("colspan", 1, 1, MAX_COLSPAN)
+            down = cell.number("rowspan", 1, 0, MAX_ROWSPAN) or MAX_ROWSPAN
+            if down > 1 and at < MAX_HELD:
+                held.append((at, end, number + down))
+            at = end
+        rows.append(own)
 
     def part(parent: Node) -> None:
+        nonlocal held
+        loose: list = []
         for child in parent.children:
-            if isinstance(child, str):
-                if child.strip():
-                    before.append(BLANK.sub(" ", child).strip())
+            is_cell = not isinstance(child, str) and child.name in ("td", "th")
+            if loose and not is_cell and (not isinstance(child, str) or child.strip()):
+                row(loose)
+                loose = []
+            if is_cell:
+                loose.append(child)
+            elif isinstance(child, str):
+                stray(child)
             elif child.visible():
                 if child.name == "tr":
-                    rows.append([])
-                    for cell in child.children:
-                        if isinstance(cell, str):
-                            if cell.strip():
-                                before.append(BLANK.sub(" ", cell).strip())
-                        elif cell.visible():
-                            rows[-1].append(line(cell))
-                            span = cell.attr("colspan") or "1"
-                            rows[-1].extend([""] * (min(int(span), 100) - 1 if re.fullmatch("[0-9]{1,4}", span) and int(span) > 1 else 0))
+                    row(child.children)
                 elif child.name in ("thead", "tbody", "tfoot"):
+                    held = []
                     part(child)
-                elif child.name in ("td", "th"):
-                    rows.append([line(child)])
+                    held = []
                 else:
                     before.append(line(child))
+        if loose:
+            row(loose)
 
     def line(cell: Node) -> str:
         page = Page()
         wrapped = Node("#root")
         wrapped.children = cell.children
-        walk(wrapped, page, depth)
+        if cell.name in ("select", "input", "img", "textarea", "option", "button"):
+            wrapped.children = [cell]
+        walk(wrapped, page, tables)
         page.end_line()
         return " ".join(x.strip() for x in page.lines if x.strip())
 
     part(node)
-    width = max(map(len, rows), default=0)
-    wide = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(width)]
-    lines = ["  ".join(c.ljust(wide[i]) for i, c in enumerate(r)).rstrip() for r in rows]
-    return [x for x in before if x] + [x for x in lines if x]
+    wide: dict[int, int] = {}
+    for own in rows:
+        for at, text in own:
+            if len(text) <= MAX_WIDTH:
+                wide[at] = max(wide.get(at, 0), len(text))
+            else:
+                wide.setdefault(at, 0)
+    left, room = {}, 0
+    for at in sorted(wide):
+        left[at] = room
+        room = min(room + wide[at] + 2, MAX_LINE)
+    lines = []
+    for own in rows:
+        out, length = [], 0
+        for at, text in own:
+            gap = max(left[at] - length, 2 if length else 0)
+            out += [" " * gap, text]
+            length += gap + len(text)
+        lines.append("".join(out).rstrip())
+    return [x for x in before if x] + [x for x in lines if x.strip()]
 
 
 def render(page: str | None) -> str | None:

@@ -14,11 +14,13 @@ Results for odd input: null and empty texts have no words and fail the base
 rule; labels that are null, or of documents that don't exist, are ignored; with
 no usable labels, or only one class of them, the list is empty and the base rule
 alone decides; repeated labels of a document count repeatedly; repeated documents
-get equal verdicts; an empty table gives no rows.
+get equal verdicts; an empty table gives no rows; other columns, whatever their names, are
+passed on by ``filter_quality`` and ignored by ``op6_decision_list``.
 
-Repeated three-word windows are found by sorting 64-bit keys that hold the
-window's place in their low bits and its hash above; for a text of n words two
-different windows share a key with a probability of at most about n^3 / 2^64.
+Very long texts are measured whole. Repeated three-word windows are found by sorting
+64-bit keys that hold the window's place in their low bits and its hash above. Windows whose
+hash stands alone are not repeated; the words of all others are sorted and compared,
+so the count is exact.
 """
 
 from __future__ import annotations
@@ -67,8 +69,12 @@ def repeated_words(words: Column) -> Column:
         twice = lambda k: F.filter(
             k, lambda x, j: F.coalesce(same(x, F.get(k, j + 1)), F.lit(False)) | F.coalesce(same(x, F.get(k, j - 1)), F.lit(False))
         )
+        # words hold no blanks, so windows are equal if their joined words are
+        window = lambda x: let(x.bitwiseAND(mask).cast("int"), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.cast("long").alias("i")))
+        beside = lambda s, x, j: (F.get(s, j)["t"] == x["t"]) & (j >= 0)
+        equal = lambda s: F.transform(F.filter(s, lambda x, j: F.coalesce(beside(s, x, j + 1), F.lit(False)) | F.coalesce(beside(s, x, j - 1), F.lit(False))), lambda x: x["i"])
         dealt = lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(
-            let(F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask))), starts_to_count)
+            let(F.sort_array(F.transform(found, window)), lambda s: let(F.sort_array(equal(s)), starts_to_count))
         )
         return let(keys, lambda k: let(twice(k), dealt))
 

@@ -99,7 +99,7 @@ RUN = re.compile(rb"(.)\1+", re.S)
 
 def shape(word: str) -> str:
     """Bytes by class; runs are collapsed."""
-    s = RUN.sub(rb"\1", word[:80].encode().translate(CLASS)).decode()
+    s = RUN.sub(rb"\1", word.encode().translate(CLASS)).decode()
     return re.sub(r"(?:9a|a9|9A|A9){3,}", "~", s)[:12]
 
 
@@ -116,6 +116,8 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 OFFSETS = (-2, -1, 0, 1)
+#: Words longer than this are scored each time they come, so that remembered words stay small.
+REMEMBERED_BYTES = 256
 #: Score that no other label of a word reaches.
 CERTAIN = 1e6
 
@@ -169,7 +171,7 @@ class Crf:
     def forget(self) -> None:
         """Row 0 of ``scores`` is that of no word; ``kinds`` are rows of words that only their shape tells."""
         self.rows: dict[bytes, int] = {b"": 0}
-        self.kinds: dict[tuple[bytes, int], int] = {}
+        self.kinds: dict[tuple, int] = {}
         self.scores = np.zeros((1 << 12, len(OFFSETS), len(LABELS)), np.float32)
         self.used = 1
 
@@ -218,21 +220,25 @@ class Crf:
 
         Words without digits that are no cues share the row of their shape and length.
         """
-        shaped = word[:400].translate(CLASS)
         kind = None
-        if b"9" not in shaped and word.lower().strip(b",;") not in CUE_BYTES:
-            kind = (RUN.sub(rb"\1", shaped[:80]), len(word[:400].strip(EDGE)), word[:1])
-            kind = (kind[0], min(kind[1], 40) // 4, kind[2] if kind[2] in (b'"', b"'") else b"")
-            if kind in self.kinds:
-                at = self.rows[word] = self.kinds[kind]
-                return at
-        at = self.rows[word] = self.used
-        self.used += 1
+        if b"9" not in word.translate(CLASS) and word.lower().strip(b",;") not in CUE_BYTES:
+            core = word.strip(EDGE)
+            shapes = (RUN.sub(rb"\1", x.translate(CLASS))[:12] for x in (word, core))
+            kind = (*shapes, min(len(core), 40) // 4, word[:1] if word[:1] in (b'"', b"'") else b"")
+        at = self.kinds.get(kind) if kind else None
+        new = at is None
+        if new:
+            at = self.used
+            self.used += 1
+        if len(word) <= REMEMBERED_BYTES:
+            self.rows[word] = at
+        if not new:
+            return at
         if kind:
             self.kinds[kind] = at
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        features = word_features(word[:400].decode("utf-8", "replace"))
+        features = word_features(word.decode("utf-8", "replace"))
         for j, o in enumerate(OFFSETS):
             self.scores[at, j] = sum((self.weights[o, f] for f in features if (o, f) in self.weights), np.zeros(len(LABELS)))
         return at

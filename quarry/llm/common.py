@@ -76,6 +76,12 @@ def text_pair(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(7), value), F.xxhash64(F.lit(1 << 40), value)
 
 
-def text_id(text: Column) -> Column:
-    """A 64-bit identity of a whole text; null and empty texts share one."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7))
+def text_node(docs: DataFrame, text: Column) -> Column:
+    """A number for each distinct text of ``docs``: its first 64 bits, or where two texts share these, a hash of all 128.
+
+    Of n texts about n^2 / 2^65 share them (some hundreds of 10^11), so the driver gets few.
+    """
+    one, two = text_pair(text)
+    marks = docs.select(one.alias("one"), two.alias("two")).groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high"))
+    shared = [r["one"] for r in marks.where("low <> high").select("one").collect()]
+    return F.when(one.isin(*shared), F.xxhash64(F.lit(3), one, two)).otherwise(one) if shared else one

@@ -31,10 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keep, map_arrow, text_id
+from quarry.llm.common import keep, map_arrow, text_node
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -149,7 +149,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]), pa.int32()), pa.array(flat))
 
 
-def signed(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, counted: bool, bands: int, rows: int) -> DataFrame:
+def signed(docs: DataFrame, *, id_col: str, text_col: str, node: Column, shingle: int, counted: bool, bands: int, rows: int) -> DataFrame:
     """(doc_id, node, keys): the text's identity and its band keys. Empty sets have no keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,12 +163,12 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, counted
         lists = [keys[j] if len(sets[j]) else none for j in back]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(lists)], names=["doc_id", "node", "keys"])
 
-    rows_in = docs.select(F.col(id_col).alias("doc_id"), text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    rows_in = docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return map_arrow(rows_in, work, f"doc_id {kind}, node long, keys array<long>")
 
 
-def element_sets(docs: DataFrame, nodes: DataFrame, *, text_col: str, shingle: int, counted: bool) -> DataFrame:
+def element_sets(docs: DataFrame, nodes: DataFrame, *, text_col: str, node: Column, shingle: int, counted: bool) -> DataFrame:
     """(node, elements) for the texts in ``nodes``, each once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -176,17 +176,30 @@ def element_sets(docs: DataFrame, nodes: DataFrame, *, text_col: str, shingle: i
         found = [elements(batch.column(1)[int(i)].as_py(), shingle, counted) for i in first]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), _lists(found)], names=["node", "elements"])
 
-    texts = docs.select(text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     return map_arrow(texts.join(nodes, "node", "left_semi"), work, "node long, elements array<long>").dropDuplicates(["node"])
 
 
+#: Pairs of one text that are compared with its elements in one place.
+CHUNK = 1024
+
+
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, sim) with the exact similarity of each pair."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    """(a, b, sim) with the exact similarity of each pair.
+
+    The text of a pair with more pairs is its hub. The other's elements travel to the hub's, which
+    stand in one place for every ``CHUNK`` of its pairs: a hub of many is dealt to many tasks.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    for side in ("a", "b"):
+        pairs = pairs.join(degree.select(F.col("n").alias(side), F.col("d").alias(f"d{side}")), side)
+    more = F.col("da") >= F.col("db")
+    pairs = pairs.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("spoke"), F.greatest("da", "db").alias("d"))
+    pairs = pairs.select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("d") / CHUNK)).alias("chunk"))
+    hubs = pairs.select("hub", "chunk").distinct().join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("ea")), "hub")
+    spokes = pairs.join(sets.select(F.col("node").alias("spoke"), F.col("elements").alias("eb")), "spoke")
     both = F.size(F.array_intersect("ea", "eb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", (both / (F.size("ea") + F.size("eb") - both)).alias("sim"))
+    return spokes.join(hubs, ["hub", "chunk"]).select(F.col("hub").alias("a"), F.col("spoke").alias("b"), (both / (F.size("ea") + F.size("eb") - both)).alias("sim"))
 
 
 def spokes(buckets: DataFrame) -> DataFrame:
@@ -306,9 +319,11 @@ def near_duplicates(
     counted: bool = False,
     bands: int = BANDS,
     rows: int = ROWS,
+    node: Column | None = None,
 ) -> DataFrame:
     """One row a document: doc_id, node (identity of its text) and class_id, the least doc_id of its class."""
-    options = {"text_col": text_col, "shingle": shingle, "counted": counted}
+    node = text_node(docs, F.col(text_col)) if node is None else node
+    options = {"text_col": text_col, "node": node, "shingle": shingle, "counted": counted}
     sigs = keep(signed(docs, id_col=id_col, bands=bands, rows=rows, **options))
     texts = sigs.groupBy("node").agg(F.first("keys").alias("keys"))
     buckets = texts.select("node", F.explode("keys").alias("key"))
@@ -325,7 +340,8 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, columns unchanged: that with the least doc_id (of equals, any one)."""
-    told = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    node = text_node(docs, F.col(f"`{text_col}`"))
+    told = near_duplicates(docs, id_col=id_col, text_col=text_col, node=node, **options)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("node").alias("t"))
     first = told.groupBy("component").agg(F.min(order).alias("_k"))
     counts = told.groupBy("doc_id", "node").agg(F.count("*").alias("_copies"))
@@ -334,7 +350,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         chosen["doc_id"].alias("_id"), chosen["node"].alias("_node"), "_copies"
     )
     names = docs.columns
-    rows = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (text_id(F.col(text_col)) == F.col("_node")))
+    rows = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (node == F.col("_node")))
     single = rows.where("_copies = 1").select(*[F.col(f"`{c}`") for c in names])
     # rows that repeat both id and text: one of them stays
     repeated = rows.where("_copies > 1").dropDuplicates(["_id", "_node"]).select(*[F.col(f"`{c}`") for c in names])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, keep, map_arrow, text_id
+from quarry.llm.common import bound_batches, keep, map_arrow, text_pair
 from quarry.llm.dartminhash import WORDS, mix64
 
 BUCKETS = 10_000
@@ -132,7 +132,7 @@ def select(
             names=["doc_id", "n_grams", "log_weight", "key", "code"],
         )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), gumbel(seed, F.col(id_col), text_id(F.col(text_col))).alias("noise"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), gumbel(seed, F.col(id_col), *text_pair(F.col(text_col))).alias("noise"))
     kind = docs.schema[id_col].dataType.simpleString()
     scored = keep(map_arrow(rows, work, f"doc_id {kind}, n_grams long, log_weight double, key double, code long"))
     k = round(share * scored.count())

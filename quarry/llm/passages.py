@@ -29,10 +29,10 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, keep, map_arrow, text_id
+from quarry.llm.common import bound_batches, keep, map_arrow, text_node
 from quarry.llm.dartminhash import WORDS, _lists, mix64
 
 K = 5
@@ -279,14 +279,14 @@ def seed_rows(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> p
     return packed(rows, rows["seed"])
 
 
-def seeds(docs: DataFrame, *, text_col: str) -> DataFrame:
+def seeds(docs: DataFrame, *, text_col: str, node: Column) -> DataFrame:
     """Packed ``SEED`` rows of each text; a batch's copies are read once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
         return seed_rows(node, [syncmers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first])
 
-    rows = docs.select(text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    rows = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     return map_arrow(rows, work, PACKED)
 
 
@@ -374,10 +374,10 @@ def chained(tied: DataFrame, width: int) -> DataFrame:
     return by_bucket(tied, TIE, work, SPANS)
 
 
-def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col: str) -> DataFrame:
+def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col: str, node: Column) -> DataFrame:
     """Spans of windows of ``width`` equal words in the open stretches, each tied to its own first holder."""
     asked = stretches.groupBy("node").agg(F.collect_set(F.struct("a", "a_end")).alias("asked"))
-    texts = docs.select(text_id(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(asked.hint("merge"), "node")
+    texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(asked.hint("merge"), "node")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
@@ -408,21 +408,22 @@ def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col
 MARGIN = 64
 
 
-def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
+def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = None, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
     """(node, ref, start, end, ref_start, ref_end, equal): passages of texts that another text holds first.
 
     Ends are exclusive; places count words. ``equal`` is the number of aligned equal words.
     """
-    told = keep(chained(ties(seeds(docs, text_col=text_col)), min_words))
+    node = text_node(docs, F.col(text_col)) if node is None else node
+    told = keep(chained(ties(seeds(docs, text_col=text_col, node=node)), min_words))
     stretches = told.where("b < 0").select("node", "a", "a_end")
-    spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, text_col=text_col))
+    spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, text_col=text_col, node=node))
     spans = keep(spans.distinct().withColumn("pair", F.monotonically_increasing_id()))
     # both sides of every chain ask for their words; texts are shuffled once
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(
         spans.select(F.col("ref").alias("text_node"), "pair", F.lit(1).alias("side"), F.col("b").alias("low"), F.col("b_end").alias("high"))
     )
     asked = sides.select("text_node").distinct()
-    texts = docs.select(text_id(F.col(text_col)).alias("text_node"), F.col(text_col).alias("text"))
+    texts = docs.select(node.alias("text_node"), F.col(text_col).alias("text"))
     texts = texts.join(asked.hint("merge"), "text_node", "left_semi")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -464,8 +465,9 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each document's passage: doc_id, start, end, ref_doc_id, ref_start, ref_end, equal."""
-    found = passages(docs, id_col=id_col, text_col=text_col, **options)
-    ids = docs.select(F.col(id_col).alias("doc_id"), text_id(F.col(text_col)).alias("node"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n"))
+    node = text_node(docs, F.col(text_col))
+    found = passages(docs, text_col=text_col, node=node, **options)
+    ids = docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n"))
     ids = keep(ids)
     least = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n").alias("n"))
     refs = least.select(F.col("node").alias("ref"), F.col("least").alias("ref_doc_id"))

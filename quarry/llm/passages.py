@@ -17,14 +17,17 @@ any ``min_words`` equal words in a row that an earlier text holds are reported w
 text that holds them, without a cap. For passages that differ in words there is no such
 promise: they need two shared seeds with a common first holder.
 
-Results for odd input: null and empty texts hold no passages; documents with
+Passages that repeat within one text only are not looked for.
+
+Results for odd input: null and empty texts hold no passages; very long texts are seeded and read whole; documents with
 equal texts are reported with their common text's passages, and a copy of
 ``min_words`` or more is itself a passage of the least doc_id of its text; null
-ids are kept as rows; an empty table gives no rows; other columns are ignored.
+ids are kept as rows; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
@@ -232,13 +235,19 @@ def extend(x: list, y: list, a: int, b: int, step: int, penalty: int) -> tuple[i
 
 SEED = np.dtype([("seed", "<u8"), ("node", "<i8"), ("at", "<i4")])
 TIE = np.dtype([("node", "<i8"), ("ref", "<i8"), ("at", "<i4"), ("ref_at", "<i4")])
-#: Buckets that packed rows are dealt to by the leading bits of their hash.
-BUCKET_BITS = 10
+FIRST = np.dtype([("seed", "<u8"), ("node", "<i8"), ("at", "<i4"), ("several", "<i4")])
+#: Bytes of records that an ordinary bucket is meant to hold, and from which on a bucket is hot and split.
+BUCKET_BYTES, HOT_BYTES = 1 << 19, 1 << 22
+
 
+def bucket_bits(text_bytes: int) -> int:
+    """Bits of a hash that number so many buckets as the corpus needs; a word makes about 1.4 bytes of records for each of its own."""
+    return min(30, max(6, math.ceil(math.log2(max(1, 1.4 * text_bytes / BUCKET_BYTES)))))
 
-def packed(rows: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+
+def packed(rows: np.ndarray, key: np.ndarray, bits: int) -> pa.RecordBatch:
     """(bucket, rows): records as bytes, one value a bucket."""
-    bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -248,66 +257,104 @@ def packed(rows: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def by_bucket(df: DataFrame, kind: np.dtype, work, schema: str) -> DataFrame:
-    """``work`` on all records of each bucket; a task holds one bucket at a time."""
+def by_bucket(df: DataFrame, kind: np.dtype, work, schema: str, keys: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """``work`` on all records of each bucket (with ``keys`` each part of one); a task holds one at a time."""
     bound_batches(df.sparkSession)
 
     def each(batches):
         now, parts = None, []
         for batch in batches:
-            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != now and parts:
+            for *key, rows in zip(*[batch.column(i).to_pylist() for i in range(len(keys))], batch.column(len(keys))):
+                if key != now and parts:
                     yield work(np.frombuffer(b"".join(parts), kind))
                     parts = []
-                now = bucket
+                now = key
                 parts.append(rows.as_py())
         if parts:
             yield work(np.frombuffer(b"".join(parts), kind))
 
-    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, schema)
+    return df.select(*keys, "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
 PACKED = "bucket int, rows binary"
 
 
-def seed_rows(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def seed_rows(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
     sizes = [len(p[0]) for p in found]
     rows = np.zeros(sum(sizes), SEED)
     if len(rows):
         rows["seed"], rows["at"] = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
         rows["node"] = np.repeat(node, sizes)
-    return packed(rows, rows["seed"])
+    return packed(rows, rows["seed"], bits)
 
 
-def seeds(docs: DataFrame, *, text_col: str, node: Column) -> DataFrame:
+def seeds(docs: DataFrame, bits: int, *, text_col: str, node: Column) -> DataFrame:
     """Packed ``SEED`` rows of each text; a batch's copies are read once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-        return seed_rows(node, [syncmers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first])
+        return seed_rows(node, [syncmers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first], bits)
 
     rows = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     return map_arrow(rows, work, PACKED)
 
 
-def ties(held: DataFrame) -> DataFrame:
-    """Packed ``TIE`` rows: each place of a seed that several texts hold with the seed's first holder, itself included."""
+def firsts(rows: np.ndarray) -> np.ndarray:
+    """The first holder of each seed among ``SEED`` or ``FIRST`` rows, and whether several texts hold the seed."""
+    rows = rows[np.lexsort((rows["at"], rows["node"], rows["seed"]))]
+    bounds = cuts(rows["seed"])
+    head, tail = bounds[:-1], bounds[1:] - 1
+    out = np.zeros(len(head), FIRST)
+    for name in ("seed", "node", "at"):
+        out[name] = rows[name][head]
+    out["several"] = rows["node"][head] != rows["node"][tail]
+    if "several" in rows.dtype.names and len(rows):
+        out["several"] |= np.maximum.reduceat(rows["several"], head)
+    return out
 
-    def work(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[np.lexsort((rows["at"], rows["node"], rows["seed"]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = rows["seed"][1:] != rows["seed"][:-1]
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(rows)]]) - 1
-        sizes = last - first + 1
-        shared = np.repeat(rows["node"][first] != rows["node"][last], sizes)
-        lead = np.repeat(first, sizes)[shared]
-        rows_in = rows[shared]
-        out = np.zeros(len(rows_in), TIE)
-        out["node"], out["at"], out["ref"], out["ref_at"] = rows_in["node"], rows_in["at"], rows["node"][lead], rows["at"][lead]
-        return packed(out, mix64(out["node"].astype(np.uint64)))
-
-    return by_bucket(held, SEED, work, PACKED)
+
+def tied(rows: np.ndarray, found: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Packed ``TIE`` rows of the seeds that several texts hold; ``found`` are first holders in the order of seeds."""
+    at = np.searchsorted(found["seed"], rows["seed"])
+    at[at == len(found)] = 0
+    shared = np.zeros(len(rows), bool) if not len(found) else (found["seed"][at] == rows["seed"]) & (found["several"][at] > 0)
+    rows, lead = rows[shared], found[at[shared]]
+    out = np.zeros(len(rows), TIE)
+    out["node"], out["at"], out["ref"], out["ref_at"] = rows["node"], rows["at"], lead["node"], lead["at"]
+    return packed(out, mix64(out["node"].astype(np.uint64)), bits)
+
+
+def ties(held: DataFrame, bits: int) -> DataFrame:
+    """Packed ``TIE`` rows: each place of a seed that several texts hold with the seed's first holder, itself included.
+
+    A bucket that frequent seeds make hot is split by salts. Each part names its first holders, these are
+    merged, one a seed, and sent to the parts, which read their records piece by piece.
+    """
+    held = keep(held)
+    sizes = held.groupBy("bucket").agg(F.sum(F.octet_length("rows")).alias("n")).where(F.col("n") > HOT_BYTES)
+    hot = keep(sizes.select("bucket", F.ceil(F.col("n") / HOT_BYTES).cast("int").alias("parts")))
+    ordinary = by_bucket(held.join(hot, "bucket", "left_anti"), SEED, lambda rows: tied(rows, firsts(rows), bits), PACKED)
+    if hot.isEmpty():
+        return ordinary
+    rows = held.join(hot, "bucket").withColumn("salt", F.pmod(F.xxhash64("rows"), F.col("parts")).cast("int"))
+    named = by_bucket(rows, SEED, lambda rows: packed(found := firsts(rows), found["seed"], bits), PACKED, ("bucket", "salt"))
+    merged = by_bucket(named, FIRST, lambda rows: packed((found := firsts(rows))[found["several"] > 0], found["seed"][found["several"] > 0], bits), PACKED)
+    sent = merged.join(hot, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "rows")
+    both = sent.unionByName(rows.select("bucket", "salt", F.lit(1).alias("kind"), "rows"))
+
+    def each(batches):
+        now, found = None, np.zeros(0, FIRST)
+        for batch in batches:
+            for bucket, salt, kind, value in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if (bucket, salt) != now:
+                    now, found = (bucket, salt), np.zeros(0, FIRST)
+                if kind == 0:
+                    found = np.frombuffer(value, FIRST)
+                elif len(found):
+                    yield tied(np.frombuffer(value, SEED), found, bits)
+
+    keys = ("bucket", "salt", "kind")
+    return ordinary.unionByName(both.repartition("bucket", "salt").sortWithinPartitions(*keys).mapInArrow(each, PACKED))
 
 
 def cuts(*columns: np.ndarray) -> np.ndarray:
@@ -374,7 +421,7 @@ def chained(tied: DataFrame, width: int) -> DataFrame:
     return by_bucket(tied, TIE, work, SPANS)
 
 
-def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col: str, node: Column) -> DataFrame:
+def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, bits: int, *, text_col: str, node: Column) -> DataFrame:
     """Spans of windows of ``width`` equal words in the open stretches, each tied to its own first holder."""
     asked = stretches.groupBy("node").agg(F.collect_set(F.struct("a", "a_end")).alias("asked"))
     texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(asked.hint("merge"), "node")
@@ -388,7 +435,7 @@ def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col
                 keys.append(grams(h[s["a"] : s["a_end"] + width], width))
                 at.append(s["a"] + np.arange(len(keys[-1])))
             found.append((np.concatenate(keys), np.concatenate(at)))
-        return seed_rows(node, found)
+        return seed_rows(node, found, bits)
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         out = []
@@ -401,10 +448,11 @@ def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, *, text_col
                 out.append((node, ref, a, a + n, b, b + n))
         return span_rows(out)
 
-    return by_bucket(ties(map_arrow(texts, windows, PACKED)), TIE, work, SPANS)
+    return by_bucket(ties(map_arrow(texts, windows, PACKED), bits), TIE, work, SPANS)
 
 
-#: Words on either side of a chain that are fetched for extension.
+#: Words on either side of a chain that are fetched for extension: none goes farther. Equal words beyond it are in
+#: a chain of their own, as of any four five-word runs one is a seed.
 MARGIN = 64
 
 
@@ -414,9 +462,10 @@ def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = N
     Ends are exclusive; places count words. ``equal`` is the number of aligned equal words.
     """
     node = text_node(docs, F.col(text_col)) if node is None else node
-    told = keep(chained(ties(seeds(docs, text_col=text_col, node=node)), min_words))
+    bits = bucket_bits(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+    told = keep(chained(ties(seeds(docs, bits, text_col=text_col, node=node), bits), min_words))
     stretches = told.where("b < 0").select("node", "a", "a_end")
-    spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, text_col=text_col, node=node))
+    spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, bits, text_col=text_col, node=node))
     spans = keep(spans.distinct().withColumn("pair", F.monotonically_increasing_id()))
     # both sides of every chain ask for their words; texts are shuffled once
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(

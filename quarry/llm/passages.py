@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches, keep, map_arrow, text_node
-from quarry.llm.dartminhash import WORDS, _lists, mix64
+from quarry.llm.dartminhash import WORDS, mix64
 
 K = 5
 #: Seeds of one diagonal that are no farther apart make one run.
@@ -80,8 +81,11 @@ def syncmers(h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     n = len(h) - k + 1
     if n < 1:
         return h[:0], np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(mix64(h), k).argmin(axis=1)
-    at = np.flatnonzero((least == 0) | (least == k - 1))
+    order = mix64(h)
+    inner = order[1 : n + 1]
+    for i in range(2, k - 1):
+        inner = np.minimum(inner, order[i : n + i])
+    at = np.flatnonzero(np.minimum(order[:n], order[k - 1 :]) <= inner)
     return grams(h, k)[at], at
 
 
@@ -168,13 +172,13 @@ def chains(found: np.ndarray) -> list[list[int]]:
         score[i], parent[i] = (n + gain, j) if j >= 0 and gain > 0 else (n, -1)
     out, used = [], set()
     for i in sorted(score, key=lambda i: (-score[i], i)):
-        chain = []
+        links = []
         while i >= 0 and i not in used:
             used.add(i)
-            chain.append(int(i))
+            links.append(int(i))
             i = parent[i]
-        if chain:
-            out.append(chain[::-1])
+        if links:
+            out.append(links[::-1])
     return out
 
 
@@ -237,7 +241,9 @@ SEED = np.dtype([("seed", "<u8"), ("node", "<i8"), ("at", "<i4")])
 TIE = np.dtype([("node", "<i8"), ("ref", "<i8"), ("at", "<i4"), ("ref_at", "<i4")])
 FIRST = np.dtype([("seed", "<u8"), ("node", "<i8"), ("at", "<i4"), ("several", "<i4")])
 #: Bytes of records that an ordinary bucket is meant to hold, and from which on a bucket is hot and split.
-BUCKET_BYTES, HOT_BYTES = 1 << 19, 1 << 22
+BUCKET_BYTES, HOT_BYTES = 1 << 23, 1 << 26
+#: One text in so many tells which buckets are hot.
+SAMPLED = 32
 
 
 def bucket_bits(text_bytes: int) -> int:
@@ -245,15 +251,31 @@ def bucket_bits(text_bytes: int) -> int:
     return min(30, max(6, math.ceil(math.log2(max(1, 1.4 * text_bytes / BUCKET_BYTES)))))
 
 
+def encode(rows: np.ndarray) -> bytes:
+    """Records field by field, all but seeds as differences, which the shuffle's compression shortens."""
+    fields = [np.ascontiguousarray(rows[f]) for f in rows.dtype.names]
+    return b"".join((x if f == "seed" else np.diff(x, prepend=x.dtype.type(0))).tobytes() for f, x in zip(rows.dtype.names, fields))
+
+
+def decode(data: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = len(data) // kind.itemsize, 0
+    out = np.empty(n, kind)
+    for f in kind.names:
+        x = np.frombuffer(data, kind[f], n, at)
+        out[f] = x if f == "seed" else np.cumsum(x, dtype=kind[f])
+        at += x.nbytes
+    return out
+
+
 def packed(rows: np.ndarray, key: np.ndarray, bits: int) -> pa.RecordBatch:
-    """(bucket, rows): records as bytes, one value a bucket."""
+    """(bucket, rows): encoded records, one value a bucket."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = [*first[1:].tolist(), len(rows)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[first], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], names=["bucket", "rows"]
+        [pa.array(bucket[first], pa.int32()), pa.array([encode(rows[i:j]) for i, j in zip(first.tolist(), ends)], pa.binary())], names=["bucket", "rows"]
     )
 
 
@@ -266,12 +288,12 @@ def by_bucket(df: DataFrame, kind: np.dtype, work, schema: str, keys: tuple[str,
         for batch in batches:
             for *key, rows in zip(*[batch.column(i).to_pylist() for i in range(len(keys))], batch.column(len(keys))):
                 if key != now and parts:
-                    yield work(np.frombuffer(b"".join(parts), kind))
+                    yield work(np.concatenate([decode(x, kind) for x in parts]))
                     parts = []
                 now = key
                 parts.append(rows.as_py())
         if parts:
-            yield work(np.frombuffer(b"".join(parts), kind))
+            yield work(np.concatenate([decode(x, kind) for x in parts]))
 
     return df.select(*keys, "rows").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
@@ -293,7 +315,17 @@ def seeds(docs: DataFrame, bits: int, *, text_col: str, node: Column) -> DataFra
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-        return seed_rows(node, [syncmers(word_hashes(batch.column(1)[int(i)].as_py())) for i in first], bits)
+        # all texts of the batch in a row, so that few calls do the work
+        words = [(batch.column(1)[int(i)].as_buffer().to_pybytes() if batch.column(1)[int(i)].is_valid else b"").split() for i in first]
+        sizes = np.array([len(w) for w in words], np.int64)
+        h = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        start = np.cumsum(sizes) - sizes
+        seed, at = syncmers(h)
+        text = np.searchsorted(start, at, side="right") - 1
+        inside = at + K <= (start + sizes)[text]
+        rows = np.zeros(int(inside.sum()), SEED)
+        rows["seed"], rows["at"], rows["node"] = seed[inside], (at - start[text])[inside], node[text[inside]]
+        return packed(rows, rows["seed"], bits)
 
     rows = docs.select(node.alias("node"), F.col(text_col).alias("text"))
     return map_arrow(rows, work, PACKED)
@@ -324,18 +356,25 @@ def tied(rows: np.ndarray, found: np.ndarray, bits: int) -> pa.RecordBatch:
     return packed(out, mix64(out["node"].astype(np.uint64)), bits)
 
 
-def ties(held: DataFrame, bits: int) -> DataFrame:
+def hot_buckets(held: DataFrame) -> DataFrame:
+    """(bucket, parts) of the buckets that frequent seeds make hot, judged by a sample's packed records.
+
+    That decides only how records are dealt to tasks; what is found is the same with any parts.
+    """
+    sizes = held.groupBy("bucket").agg(F.sum(F.octet_length("rows") * SAMPLED).alias("n")).where(F.col("n") > HOT_BYTES)
+    return keep(sizes.select("bucket", F.ceil(F.col("n") / HOT_BYTES).cast("int").alias("parts")))
+
+
+def ties(held: DataFrame, bits: int, hot: DataFrame | None = None) -> DataFrame:
     """Packed ``TIE`` rows: each place of a seed that several texts hold with the seed's first holder, itself included.
 
-    A bucket that frequent seeds make hot is split by salts. Each part names its first holders, these are
+    A hot bucket is split by salts. Each part names its first holders, these are
     merged, one a seed, and sent to the parts, which read their records piece by piece.
     """
+    if hot is None or hot.isEmpty():
+        return by_bucket(held, SEED, lambda rows: tied(rows, firsts(rows), bits), PACKED)
     held = keep(held)
-    sizes = held.groupBy("bucket").agg(F.sum(F.octet_length("rows")).alias("n")).where(F.col("n") > HOT_BYTES)
-    hot = keep(sizes.select("bucket", F.ceil(F.col("n") / HOT_BYTES).cast("int").alias("parts")))
     ordinary = by_bucket(held.join(hot, "bucket", "left_anti"), SEED, lambda rows: tied(rows, firsts(rows), bits), PACKED)
-    if hot.isEmpty():
-        return ordinary
     rows = held.join(hot, "bucket").withColumn("salt", F.pmod(F.xxhash64("rows"), F.col("parts")).cast("int"))
     named = by_bucket(rows, SEED, lambda rows: packed(found := firsts(rows), found["seed"], bits), PACKED, ("bucket", "salt"))
     merged = by_bucket(named, FIRST, lambda rows: packed((found := firsts(rows))[found["several"] > 0], found["seed"][found["several"] > 0], bits), PACKED)
@@ -349,9 +388,9 @@ def ties(held: DataFrame, bits: int) -> DataFrame:
                 if (bucket, salt) != now:
                     now, found = (bucket, salt), np.zeros(0, FIRST)
                 if kind == 0:
-                    found = np.frombuffer(value, FIRST)
+                    found = decode(value, FIRST)
                 elif len(found):
-                    yield tied(np.frombuffer(value, SEED), found, bits)
+                    yield tied(decode(value, SEED), found, bits)
 
     keys = ("bucket", "salt", "kind")
     return ordinary.unionByName(both.repartition("bucket", "salt").sortWithinPartitions(*keys).mapInArrow(each, PACKED))
@@ -412,8 +451,8 @@ def chained(tied: DataFrame, width: int) -> DataFrame:
         for i, j in zip(bounds[several].tolist(), bounds[several + 1].tolist()):
             found = runs(rows["at"][i:j].astype(np.int64), rows["ref_at"][i:j].astype(np.int64))
             node, ref = int(rows["node"][i]), int(rows["ref"][i])
-            for chain in chains(found):
-                head, tail = found[chain[0]], found[chain[-1]]
+            for links in chains(found):
+                head, tail = found[links[0]], found[links[-1]]
                 if tail[0] + tail[2] - head[0] >= 2 * K:
                     out.append((node, ref, head[0], tail[0] + tail[2], head[1], tail[1] + tail[2]))
         return span_rows(out)
@@ -456,6 +495,47 @@ def whole_windows(docs: DataFrame, stretches: DataFrame, width: int, bits: int,
 MARGIN = 64
 
 
+#: Stretches of one text that are read from it together.
+ASKED = 4096
+
+
+def slices(docs: DataFrame, sides: DataFrame, *, text_col: str, node: Column) -> DataFrame:
+    """(pair, side, from, words): the asked stretches of texts with ``MARGIN`` words around them, as 32-bit word hashes.
+
+    A text is shuffled once, and read once for every ``ASKED`` of its stretches.
+    """
+    counts = sides.groupBy("text_node").agg(F.count("*").alias("n"))
+    chunk = F.pmod(F.xxhash64("pair"), F.ceil(F.col("n") / ASKED)).alias("chunk")
+    asked = sides.join(counts, "text_node").groupBy("text_node", chunk).agg(F.collect_list(F.struct("pair", "side", "low", "high")).alias("asked"))
+    texts = docs.select(node.alias("text_node"), F.col(text_col).alias("text")).join(counts.select("text_node").hint("merge"), "text_node", "left_semi")
+    rows = texts.dropDuplicates(["text_node"]).join(asked.hint("merge"), "text_node").select("text", "asked")
+    bound_batches(docs.sparkSession)
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        words = [f[3] for f in found]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*words, np.zeros(0, np.int32)])))
+        plain = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*plain, lists], names=["pair", "side", "from", "words"])
+
+    def each(batches):
+        found, size = [], 0
+        for batch in batches:
+            for text, own in zip(batch.column(0), batch.column(1)):
+                h = word_hashes(text.as_py()).astype(np.uint32).view(np.int32)
+                for x in own.as_py():
+                    low = max(0, x["low"] - MARGIN)
+                    found.append((x["pair"], x["side"], low, h[low : x["high"] + MARGIN]))
+                    size += len(found[-1][3])
+                    if size > 1 << 18:
+                        yield batch_of(found)
+                        found, size = [], 0
+        if found:
+            yield batch_of(found)
+
+    return rows.mapInArrow(each, "pair long, side int, from int, words array<int>")
+
+
 def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = None, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
     """(node, ref, start, end, ref_start, ref_end, equal): passages of texts that another text holds first.
 
@@ -463,7 +543,9 @@ def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = N
     """
     node = text_node(docs, F.col(text_col)) if node is None else node
     bits = bucket_bits(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
-    told = keep(chained(ties(seeds(docs, bits, text_col=text_col, node=node), bits), min_words))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(5), node), F.lit(SAMPLED)) == 0)
+    hot = hot_buckets(seeds(sample, bits, text_col=text_col, node=node))
+    told = keep(chained(ties(seeds(docs, bits, text_col=text_col, node=node), bits, hot), min_words))
     stretches = told.where("b < 0").select("node", "a", "a_end")
     spans = told.where("b >= 0").unionByName(whole_windows(docs, stretches, min_words, bits, text_col=text_col, node=node))
     spans = keep(spans.distinct().withColumn("pair", F.monotonically_increasing_id()))
@@ -471,17 +553,7 @@ def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = N
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(
         spans.select(F.col("ref").alias("text_node"), "pair", F.lit(1).alias("side"), F.col("b").alias("low"), F.col("b_end").alias("high"))
     )
-    asked = sides.select("text_node").distinct()
-    texts = docs.select(node.alias("text_node"), F.col(text_col).alias("text"))
-    texts = texts.join(asked.hint("merge"), "text_node", "left_semi")
-
-    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(once)), _lists([word_hashes(batch.column(1)[int(i)].as_py()) for i in once])], names=["text_node", "words"])
-
-    words = map_arrow(texts, hashed, "text_node long, words array<long>").dropDuplicates(["text_node"])
-    low = F.greatest(F.col("low") - MARGIN, F.lit(0))
-    cut = sides.join(words, "text_node").select("pair", "side", low.alias("from"), F.slice("words", low + 1, F.col("high") + MARGIN - low).alias("words"))
+    cut = slices(docs, sides, text_col=text_col, node=node)
     both = cut.where("side = 0").select("pair", F.col("from").alias("fa"), F.col("words").alias("wa")).join(
         cut.where("side = 1").select("pair", F.col("from").alias("fb"), F.col("words").alias("wb")), "pair"
     )

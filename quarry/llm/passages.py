@@ -182,28 +182,24 @@ def chains(found: np.ndarray) -> list[list[int]]:
     return out
 
 
-def align(x: np.ndarray, y: np.ndarray, band: int = 16) -> int:
-    """Equal words in a best banded alignment of two word sequences."""
-    n, m = len(x), len(y)
-    if n == m and (x == y).all():
-        return n
-    head = 0
-    while head < min(n, m) and x[head] == y[head]:
-        head += 1
-    x, y = x[head:], y[head:]
-    tail = 0
-    while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    band = max(band, abs(len(x) - len(y)) + 8)
-    row = np.zeros(len(y) + 1, np.int32)
-    for i in range(len(x)):
-        low, high = max(0, i - band), min(len(y), i + band + 1)
-        diag = row[low:high] + (y[low:high] == x[i])
-        new = row.copy()
-        new[low + 1 : high + 1] = np.maximum(row[low + 1 : high + 1], diag)
-        row = np.maximum.accumulate(new)
-    return head + tail + int(row[-1])
+def align(x: np.ndarray, y: np.ndarray) -> int:
+    """Equal words in a best alignment of two word sequences: their longest common subsequence, by bit rows."""
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    head = n if same.all() else int(same.argmin())
+    same = x[len(x) - n + head :][::-1] == y[len(y) - n + head :][::-1]
+    tail = len(same) if same.all() else int(same.argmin())
+    x, y = x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist()
+    if not x or not y:
+        return head + tail
+    where: dict[int, int] = {}
+    for i, w in enumerate(x):
+        where[w] = where.get(w, 0) | 1 << i
+    full = row = (1 << len(x)) - 1
+    for w in y:
+        if found := row & where.get(w, 0):
+            row = ((row + found) | (row - found)) & full
+    return head + tail + (full ^ row).bit_count()
 
 
 #: Shifts tried after words that differ, cheapest first: words passed over in either text.
@@ -345,6 +341,16 @@ def firsts(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeated_seeds(rows: np.ndarray) -> np.ndarray:
+    """The records whose seed stands in another one too, in their order."""
+    order = np.argsort(rows["seed"])
+    seed = rows["seed"][order]
+    again = np.zeros(len(seed), bool)
+    again[1:] = seed[1:] == seed[:-1]
+    again[:-1] |= again[1:]
+    return rows[np.sort(order[again])]
+
+
 def tied(rows: np.ndarray, found: np.ndarray, bits: int) -> pa.RecordBatch:
     """Packed ``TIE`` rows of the seeds that several texts hold; ``found`` are first holders in the order of seeds."""
     at = np.searchsorted(found["seed"], rows["seed"])
@@ -371,10 +377,15 @@ def ties(held: DataFrame, bits: int, hot: DataFrame | None = None) -> DataFrame:
     A hot bucket is split by salts. Each part names its first holders, these are
     merged, one a seed, and sent to the parts, which read their records piece by piece.
     """
+
+    def whole(rows: np.ndarray) -> pa.RecordBatch:
+        rows = repeated_seeds(rows)
+        return tied(rows, firsts(rows), bits)
+
     if hot is None or hot.isEmpty():
-        return by_bucket(held, SEED, lambda rows: tied(rows, firsts(rows), bits), PACKED)
+        return by_bucket(held, SEED, whole, PACKED)
     held = keep(held)
-    ordinary = by_bucket(held.join(hot, "bucket", "left_anti"), SEED, lambda rows: tied(rows, firsts(rows), bits), PACKED)
+    ordinary = by_bucket(held.join(hot, "bucket", "left_anti"), SEED, whole, PACKED)
     rows = held.join(hot, "bucket").withColumn("salt", F.pmod(F.xxhash64("rows"), F.col("parts")).cast("int"))
     named = by_bucket(rows, SEED, lambda rows: packed(found := firsts(rows), found["seed"], bits), PACKED, ("bucket", "salt"))
     merged = by_bucket(named, FIRST, lambda rows: packed((found := firsts(rows))[found["several"] > 0], found["seed"][found["several"] > 0], bits), PACKED)
@@ -505,8 +516,8 @@ def slices(docs: DataFrame, sides: DataFrame, *, text_col: str, node: Column) ->
     A text is shuffled once, and read once for every ``ASKED`` of its stretches.
     """
     counts = sides.groupBy("text_node").agg(F.count("*").alias("n"))
-    chunk = F.pmod(F.xxhash64("pair"), F.ceil(F.col("n") / ASKED)).alias("chunk")
-    asked = sides.join(counts, "text_node").groupBy("text_node", chunk).agg(F.collect_list(F.struct("pair", "side", "low", "high")).alias("asked"))
+    chunk = F.coalesce(F.pmod(F.xxhash64("pair"), F.ceil(F.col("n") / ASKED)), F.lit(0)).alias("chunk")
+    asked = sides.join(counts.where(F.col("n") > ASKED), "text_node", "left").groupBy("text_node", chunk).agg(F.collect_list(F.struct("pair", "side", "low", "high")).alias("asked"))
     texts = docs.select(node.alias("text_node"), F.col(text_col).alias("text")).join(counts.select("text_node").hint("merge"), "text_node", "left_semi")
     rows = texts.dropDuplicates(["text_node"]).join(asked.hint("merge"), "text_node").select("text", "asked")
     bound_batches(docs.sparkSession)

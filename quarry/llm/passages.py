@@ -508,10 +508,11 @@ MARGIN = 64
 
 #: Stretches of one text that are read from it together.
 ASKED = 4096
+SLICE = ("pair", "side", "node", "low", "high", "from")
 
 
 def slices(docs: DataFrame, sides: DataFrame, *, text_col: str, node: Column) -> DataFrame:
-    """(pair, side, from, words): the asked stretches of texts with ``MARGIN`` words around them, as 32-bit word hashes.
+    """(pair, side, node, low, high, from, words): the asked stretches of texts, and with ``MARGIN`` words around them as 32-bit word hashes.
 
     A text is shuffled once, and read once for every ``ASKED`` of its stretches.
     """
@@ -519,32 +520,32 @@ def slices(docs: DataFrame, sides: DataFrame, *, text_col: str, node: Column) ->
     chunk = F.coalesce(F.pmod(F.xxhash64("pair"), F.ceil(F.col("n") / ASKED)), F.lit(0)).alias("chunk")
     asked = sides.join(counts.where(F.col("n") > ASKED), "text_node", "left").groupBy("text_node", chunk).agg(F.collect_list(F.struct("pair", "side", "low", "high")).alias("asked"))
     texts = docs.select(node.alias("text_node"), F.col(text_col).alias("text")).join(counts.select("text_node").hint("merge"), "text_node", "left_semi")
-    rows = texts.dropDuplicates(["text_node"]).join(asked.hint("merge"), "text_node").select("text", "asked")
+    rows = texts.dropDuplicates(["text_node"]).join(asked.hint("merge"), "text_node").select("text", "asked", "text_node")
     bound_batches(docs.sparkSession)
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        words = [f[3] for f in found]
+        words = [f[-1] for f in found]
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*words, np.zeros(0, np.int32)])))
-        plain = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([*plain, lists], names=["pair", "side", "from", "words"])
+        plain = [pa.array([f[i] for f in found], pa.int64() if n in ("pair", "node") else pa.int32()) for i, n in enumerate(SLICE)]
+        return pa.RecordBatch.from_arrays([*plain, lists], names=[*SLICE, "words"])
 
     def each(batches):
         found, size = [], 0
         for batch in batches:
-            for text, own in zip(batch.column(0), batch.column(1)):
+            for text, own, name in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
                 h = word_hashes(text.as_py()).astype(np.uint32).view(np.int32)
                 for x in own.as_py():
-                    low = max(0, x["low"] - MARGIN)
-                    found.append((x["pair"], x["side"], low, h[low : x["high"] + MARGIN]))
-                    size += len(found[-1][3])
+                    begin = max(0, x["low"] - MARGIN)
+                    found.append((x["pair"], x["side"], name, x["low"], x["high"], begin, h[begin : x["high"] + MARGIN]))
+                    size += len(found[-1][-1])
                     if size > 1 << 18:
                         yield batch_of(found)
                         found, size = [], 0
         if found:
             yield batch_of(found)
 
-    return rows.mapInArrow(each, "pair long, side int, from int, words array<int>")
+    return rows.mapInArrow(each, "pair long, side int, node long, low int, high int, from int, words array<int>")
 
 
 def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = None, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
@@ -564,35 +565,39 @@ def passages(docs: DataFrame, *, text_col: str = "text", node: Column | None = N
     sides = spans.select(F.col("node").alias("text_node"), "pair", F.lit(0).alias("side"), F.col("a").alias("low"), F.col("a_end").alias("high")).unionByName(
         spans.select(F.col("ref").alias("text_node"), "pair", F.lit(1).alias("side"), F.col("b").alias("low"), F.col("b_end").alias("high"))
     )
-    cut = slices(docs, sides, text_col=text_col, node=node)
-    both = cut.where("side = 0").select("pair", F.col("from").alias("fa"), F.col("words").alias("wa")).join(
-        cut.where("side = 1").select("pair", F.col("from").alias("fb"), F.col("words").alias("wb")), "pair"
-    )
-
-    def aligned(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, at = [], []
-        cols = {n: batch.column(n).to_pylist() for n in ("a", "a_end", "b", "b_end", "fa", "fb")}
-        for i in range(batch.num_rows):
-            x, y = (batch.column(n)[i].values.to_numpy() for n in ("wa", "wb"))
-            fa, fb = cols["fa"][i], cols["fb"][i]
-            lx, ly = x.tolist(), y.tolist()
-            # a far extension that makes the whole too unequal is tried again more strictly
-            for penalty in (2, 4):
-                a, b = extend(lx, ly, cols["a"][i] - fa, cols["b"][i] - fb, -1, penalty)
-                ae, be = extend(lx, ly, cols["a_end"][i] - fa, cols["b_end"][i] - fb, 1, penalty)
-                if min(ae - a, be - b) < min_words:
-                    break
-                equal = align(x[a:ae], y[b:be])
-                if equal >= min_equal * max(ae - a, be - b):
-                    at.append(i)
-                    rows.append((a + fa, ae + fa, b + fb, be + fb, equal))
-                    break
-        out = np.array(rows, np.int64).reshape(-1, 5)
-        picked = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("node").take(picked), batch.column("ref").take(picked), *[pa.array(out[:, j]) for j in range(5)]], names=["node", "ref", "start", "end", "ref_start", "ref_end", "equal"])
-
-    ready = spans.join(both, "pair").select("node", "ref", "a", "a_end", "b", "b_end", "fa", "wa", "fb", "wb")
-    return map_arrow(ready, aligned, "node long, ref long, start long, end long, ref_start long, ref_end long, equal long").distinct()
+    def best(x: np.ndarray, y: np.ndarray, a: int, a_end: int, b: int, b_end: int) -> tuple | None:
+        lx, ly = x.tolist(), y.tolist()
+        # a far extension that makes the whole too unequal is tried again more strictly
+        for penalty in (2, 4):
+            start, ref_start = extend(lx, ly, a, b, -1, penalty)
+            end, ref_end = extend(lx, ly, a_end, b_end, 1, penalty)
+            if min(end - start, ref_end - ref_start) < min_words:
+                return None
+            equal = align(x[start:end], y[ref_start:ref_end])
+            if equal >= min_equal * max(end - start, ref_end - ref_start):
+                return start, end, ref_start, ref_end, equal
+        return None
+
+    def aligned(batches):
+        left = None
+        for batch in batches:
+            out = []
+            columns = [batch.column(n).to_pylist() for n in SLICE]
+            flat, bounds = batch.column("words").values.to_numpy(), batch.column("words").offsets.to_numpy()
+            for i, (pair, side, name, low, high, begin) in enumerate(zip(*columns)):
+                words = flat[bounds[i] : bounds[i + 1]]
+                if side == 0:
+                    left = (pair, name, low - begin, high - begin, begin, words)
+                elif found := best(left[5], words, left[2], left[3], low - begin, high - begin):
+                    start, end, ref_start, ref_end, equal = found
+                    out.append((left[1], name, start + left[4], end + left[4], ref_start + begin, ref_end + begin, equal))
+            if left is not None:
+                left = (*left[:5], left[5].copy())  # its batch is let go
+            rows = np.array(out, np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(7)], names=["node", "ref", "start", "end", "ref_start", "ref_end", "equal"])
+
+    both = slices(docs, sides, text_col=text_col, node=node).repartition("pair").sortWithinPartitions("pair", "side")
+    return both.mapInArrow(aligned, "node long, ref long, start long, end long, ref_start long, ref_end long, equal long").distinct()
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -41,3 +41,9 @@ def excluded(path: Column, folders: tuple[str, ...]) -> Column:
     for f in folders:
         out = out | (path == f.rstrip("/")) | under(path, f)
     return out
+
+
+def above(path: Column) -> Column:
+    """All folders that a path lies in."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(steps, 1, n), "/")))

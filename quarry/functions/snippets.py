@@ -9,19 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokenize_py
+from quarry.functions.text import tokenize_py, word_class, word_pattern
 
 #: Characters of a passage, bytes of context before it, matches that are looked at.
 LENGTH, CONTEXT, MOST_MATCHES, MOST_STARTS = 220, 60, 2000, 300
-_TOKEN = re.compile(r"[^\W_]+")
 SEGMENTS = "array<struct<text: string, highlighted: boolean>>"
 
 
-def find(text: str, terms: frozenset[str]) -> list[tuple[int, int, str]]:
+def find(text: str, terms: frozenset[str], of: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, term) in characters of the tokens that analyse to one of ``terms``."""
     out = []
-    for m in _TOKEN.finditer(text):
-        word = tokenize_py(m[0])
+    for m in word_pattern(text, of).finditer(text):
+        word = tokenize_py(m[0], of)
         if len(word) == 1 and word[0] in terms:
             out.append((m.start(), m.end(), word[0]))
             if len(out) == MOST_MATCHES:
@@ -69,31 +68,30 @@ def best_start(text: str, found: list[tuple[int, int, str]], length: int) -> int
     return found[first][0] if found else 0
 
 
-def snippet(text: str | None, terms: frozenset[str], length: int = LENGTH) -> list[tuple[str, bool]]:
+def snippet(text: str | None, terms: frozenset[str], length: int = LENGTH, of: str | None = None) -> list[tuple[str, bool]]:
     """Segments of the best passage, with an ellipsis where text is left out; its start where nothing matches."""
     text = text or ""
-    found = find(text, terms)
+    found = find(text, terms, of)
     low = best_start(text, found, length)
     if low:
-        begin = low
-        while begin and len(text[begin - 1 : low].encode()) <= CONTEXT:
-            begin -= 1
-        blank = re.search(r"\s", text[begin:low]) if begin else None
-        low = begin + blank.end() if blank else begin
-    high = min(len(text), low + length)
-    if high < len(text):
-        blank = max((m.start() for m in re.finditer(r"\s", text[low:high])), default=0)
-        high = low + blank if blank else high
-    out = cut(text, low, high, found)
-    return [("…", False)] * (low > 0) + out + [("…", False)] * (high < len(text) and bool(out))
+        # context of so many bytes before the first match, from the start of a word on
+        near = text[max(0, low - CONTEXT) : low].encode()[-CONTEXT:].decode("utf-8", "ignore")
+        whole = len(near) == low
+        first_blank = None if whole else re.search(r"\s", near)
+        low -= len(near) - (first_blank.end() if first_blank else 0)
+    rest = text[low : low + length]
+    if low + len(rest) < len(text):
+        rest = rest[: rest.rindex(m[0])] if (m := re.search(r"\s(?=\S*$)", rest)) and m.start() else rest
+    out = cut(text, low, low + len(rest), found)
+    return [("…", False)] * (low > 0) + out + [("…", False)] * (low + len(rest) < len(text) and bool(out))
 
 
 def snippet_column(text: Column, terms: list[str], length: int = LENGTH) -> Column:
     """Snippets of a few rows: apply it to a top k, never to all files."""
-    wanted = frozenset(terms)
+    wanted, of = frozenset(terms), word_class()
 
     @F.pandas_udf(SEGMENTS)
     def work(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": s, "highlighted": h} for s, h in snippet(t, wanted, length)])
+        return texts.map(lambda t: [{"text": s, "highlighted": h} for s, h in snippet(t, wanted, length, of)])
 
     return work(text)

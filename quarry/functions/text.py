@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Tokens of so many UTF-8 bytes or more are left out.
 MAX_TOKEN_BYTES = 48
+#: A character of words, as Spark's patterns know it; all else separates.
+WORD_CHAR = r"[\p{IsAlphabetic}\p{N}]"
+_ASCII = re.compile("[0-9A-Za-z]+")
 #: Folded to two letters. Fixed values.
 PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe", "ĳ": "ij", "þ": "th"}
 
@@ -34,27 +38,40 @@ def fold(col: Column) -> Column:
 
 def tokenize(col: Column) -> Column:
     """Terms of a text in order; null and empty texts have none."""
-    pieces = F.split(F.coalesce(col, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+")
+    pieces = F.split(F.coalesce(col, F.lit("")), f"[^{WORD_CHAR}]+")
     kept = F.filter(pieces, lambda x: (x != "") & (F.octet_length(x) < MAX_TOKEN_BYTES))
     # folded as one string: compiled code, where a lambda for each term would be interpreted
     joined = fold(F.array_join(kept, " "))
     return F.filter(F.split(joined, " "), lambda x: x != "")
 
 
-def tokenize_py(text: str) -> list[str]:
-    """The same analysis of a query on the driver."""
+@lru_cache(maxsize=1)
+def word_class() -> str:
+    """``WORD_CHAR`` as ranges of characters, for engines that know another version of Unicode; asked of Spark once."""
+    spark = SparkSession.active()
+    points = spark.range(1, 0x110000, 1, 8).where("id NOT BETWEEN 55296 AND 57343")
+    text = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    found = sorted(r["id"] for r in points.where(text.rlike(f"^{WORD_CHAR}$")).select("id").collect())
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+def word_pattern(text: str, of: str | None = None) -> re.Pattern:
+    """Runs of word characters of a text, by ``of`` or the ``word_class`` of this session."""
+    return _ASCII if text.isascii() else re.compile(f"[{of or word_class()}]+")
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> dict[int, str]:
     source, target = fold_map()
-    table = str.maketrans({**dict(zip(source, target)), **PAIRS})
-    out, now = [], []
-    for c in [*text, " "]:
-        if c.isalnum():
-            now.append(c)
-        elif now:
-            word = "".join(now)
-            if len(word.encode()) < MAX_TOKEN_BYTES:
-                out.append(word.lower().translate(table))
-            now = []
-    return out
+    return str.maketrans({**dict(zip(source, target)), **PAIRS})
+
+
+def tokenize_py(text: str, of: str | None = None) -> list[str]:
+    """The same analysis of a query on the driver, or of a text in a worker that was given the ``word_class``."""
+    words = word_pattern(text, of).findall(text)
+    return [w.lower().translate(_fold_table()) for w in words if len(w.encode()) < MAX_TOKEN_BYTES]
 
 
 def osa_distance(a: str, b: str) -> int:

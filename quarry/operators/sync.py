@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.paths import under
+from quarry.functions.paths import above, under
 
 
 def changed(listing: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -16,12 +16,24 @@ def changed(listing: DataFrame, indexed: DataFrame) -> DataFrame:
     return out.withColumn("change", F.when(F.col("_mtime").isNull(), "new").otherwise("changed")).drop("_mtime", "_size")
 
 
+def unreadable(listing: DataFrame) -> DataFrame:
+    """(barred): files and folders of a listing that could not be read."""
+    return listing.where(F.col("status").isNotNull()).select(F.col("path").alias("barred")).distinct()
+
+
+def kept_back(gone: DataFrame, barred: DataFrame) -> DataFrame:
+    """``gone`` without what could not be read and what lies below it."""
+    held = gone.select("path", F.explode(F.concat(above(F.col("path")), F.array("path"))).alias("barred")).join(barred, "barred", "left_semi")
+    return gone.join(held.select("path").distinct(), "path", "left_anti")
+
+
 def deleted(listing: DataFrame, indexed: DataFrame, offline_roots: tuple[str, ...] = ()) -> DataFrame:
-    """Indexed files that are no longer listed; those below roots that can't be reached stay."""
+    """Indexed files that are no longer listed; those below roots that can't be reached stay, and what a listing with ``status`` could not read."""
     out = indexed
     for root in offline_roots:
         out = out.where(~under(F.col("path"), root))
-    return out.join(listing.select("path"), "path", "left_anti")
+    out = out.join(listing.select("path"), "path", "left_anti")
+    return kept_back(out, unreadable(listing)) if "status" in listing.columns else out
 
 
 def first_root(paths: DataFrame, roots: list[tuple[str, bool]]) -> DataFrame:

@@ -1,17 +1,24 @@
-"""The inverted index as ordinary tables: postings, dictionary and field statistics."""
+"""The inverted index as ordinary tables: postings, dictionary and field statistics.
+
+A stored index is a base and, for every update since, a change: the files that came, with
+their postings, the ids of those that left, and what both add to the dictionary and the
+statistics. An update reads the texts of the files it touches only. Readers put the tables
+together; ``compact`` writes them as a new base.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
 
 FIELDS = {"name": "name", "dir": "dir_text", "content": "content"}
-VERSION = "3"
+VERSION = "4"
 
 
 def tokens(files: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
@@ -75,27 +82,95 @@ class Index:
         return max((r["n"] for r in rows), default=0), {r["field"]: r["total"] for r in rows}
 
 
-def write_index(files: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store files and postings; postings are sorted by term, so that Parquet skips row groups."""
+def _sorted(df: DataFrame, keys: tuple[str, ...], partitions: int | None = None) -> DataFrame:
+    """Ranged and sorted, so that Parquet skips row groups."""
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
+
+
+def _totals(spark: SparkSession, n: int, sums: DataFrame) -> DataFrame:
+    """(field, n, total) of all fields, from (field, total) of some."""
+    fields = spark.range(1).select(F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    return fields.join(F.broadcast(sums), "field", "left").select("field", F.lit(n).cast("long").alias("n"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
+def _store(files: DataFrame, postings: DataFrame, path: str, partitions: int | None = None) -> None:
+    spark = files.sparkSession
     files.write.parquet(f"{path}/files")
     # from the written postings on: texts are analysed once
-    postings = Index(files).postings
-    postings = postings.repartitionByRange(partitions, "field", "term", "file_id") if partitions else postings.repartitionByRange("field", "term", "file_id")
-    postings.sortWithinPartitions("field", "term", "file_id").write.parquet(f"{path}/postings")
-    spark = files.sparkSession
+    _sorted(postings, ("field", "term", "file_id"), partitions).write.parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
-    terms = written.groupBy("field", "term").agg(F.count("*").alias("df"))
-    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
-    n = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"))
-    fields = spark.range(1).select(F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    totals = fields.join(F.broadcast(written.groupBy("field").agg(F.sum("tf").alias("total"))), "field", "left")
-    totals.join(n).select("field", "n", F.coalesce("total", F.lit(0)).alias("total")).write.parquet(f"{path}/stats")
+    _sorted(written.groupBy("field", "term").agg(F.count("*").alias("df")), ("field", "term")).write.parquet(f"{path}/dictionary")
+    sums = written.groupBy("field").agg(F.sum("tf").alias("total"))
+    _totals(spark, spark.read.parquet(f"{path}/files").count(), sums).write.parquet(f"{path}/stats")
     spark.createDataFrame([(VERSION,)], "version string").write.parquet(f"{path}/version")
 
 
+def write_index(files: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Store files and postings as a new index."""
+    _store(files, Index(files).postings, path, partitions)
+
+
+def changes(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the committed changes of a stored index, in order."""
+    try:
+        return sorted(r["change"] for r in spark.read.schema("change int").parquet(f"{path}/committed").collect())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+
+
+def update_index(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+    """Put ``rows`` (as in the index's files) in place of the indexed files of equal path, and take out the paths in ``gone``.
+
+    One writer at a time. The change counts once it is committed by its last write.
+    """
+    known = changes(spark, path)
+    number = max(known, default=0) + 1
+    base = f"{path}/changes/{number}"
+    now = open_index(spark, path).files
+    rows.select(*now.columns).dropDuplicates(["path"]).write.mode("overwrite").parquet(f"{base}/files")
+    new = spark.read.parquet(f"{base}/files")
+    paths = new.select("path") if gone is None else new.select("path").union(gone.select("path")).distinct()
+    now.join(paths, "path", "left_semi").write.mode("overwrite").parquet(f"{base}/dead")
+    dead = spark.read.parquet(f"{base}/dead")
+    _sorted(Index(new).postings, ("field", "term", "file_id")).write.mode("overwrite").parquet(f"{base}/postings")
+    came = spark.read.parquet(f"{base}/postings").select("field", "term", "tf", F.lit(1).alias("sign"))
+    left = Index(dead).counts().select("field", "term", "tf", F.lit(-1).alias("sign"))
+    both = came.unionByName(left.withColumn("tf", F.col("tf").cast("int")))
+    moved = both.groupBy("field", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("total"))
+    moved.write.mode("overwrite").parquet(f"{base}/moved")
+    moved = spark.read.parquet(f"{base}/moved")
+    _sorted(moved.where("df <> 0").select("field", "term", "df"), ("field", "term")).write.mode("overwrite").parquet(f"{base}/dictionary")
+    _totals(spark, new.count() - dead.count(), moved.groupBy("field").agg(F.sum("total").alias("total"))).write.mode("overwrite").parquet(f"{base}/stats")
+    spark.createDataFrame([(number,)], "change int").coalesce(1).write.mode("append").parquet(f"{path}/committed")
+
+
+def compact(spark: SparkSession, path: str, target: str, partitions: int | None = None) -> None:
+    """Write an index with its changes as a new base in another folder; no text is analysed again."""
+    index = open_index(spark, path)
+    _store(index.files, index.postings, target, partitions)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
-    """A stored index; one of another version must be built anew."""
+    """A stored index with its changes; one of another version must be built anew."""
     found = spark.read.parquet(f"{path}/version").first()["version"]
     if found != VERSION:
         raise ValueError(f"the index has version {found}; build it anew for version {VERSION}")
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("files", "postings", "dictionary", "stats")])
+    numbers = changes(spark, path)
+    parts = [(0, path), *((n, f"{path}/changes/{n}") for n in numbers)]
+    read = lambda table: [spark.read.parquet(f"{p}/{table}").withColumn("_change", F.lit(n)) for n, p in parts if n or table != "dead"]
+    together = lambda tables: reduce(DataFrame.unionByName, tables)
+    if not numbers:
+        return Index(*[t.drop("_change") for name in ("files", "postings", "dictionary", "stats") for t in read(name)])
+    # a file's rows end with the last change that took it out
+    dead = together(read("dead")).groupBy("file_id").agg(F.max("_change").alias("_ended"))
+
+    def live(table: str) -> DataFrame:
+        rows = together(read(table)).join(dead, "file_id", "left")
+        return rows.where(F.col("_ended").isNull() | (F.col("_change") >= F.col("_ended"))).drop("_change", "_ended")
+
+    dictionary = together(read("dictionary")).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    stats = together(read("stats")).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return Index(live("files"), live("postings"), dictionary, stats)

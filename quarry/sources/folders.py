@@ -7,6 +7,9 @@ the last poll. Paths must be visible to all executors, as on a shared mount.
 Options: ``path``; ``include_subfolders`` (true), ``hidden_files`` (false),
 ``exclude`` (globs, a line each), ``excluded_folders`` (paths, a line each),
 ``partitions`` (64), ``content`` (false: no bytes are read).
+
+What can't be read is listed with the status ``unreadable``, a file without bytes and a folder
+without what lies below it; ``deleted`` and ``take_up`` keep what the index has of it.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from quarry.functions.paths import glob_regex
+from quarry.functions.paths import above, glob_regex
+from quarry.operators.sync import kept_back, unreadable
 from quarry.sources.formats import BY_EXTENSION, extension, most_bytes
 
-SCHEMA = "path string, parent string, name string, mtime long, size long, is_dir boolean, data binary"
+SCHEMA = "path string, parent string, name string, mtime long, size long, is_dir boolean, data binary, status string"
 TAG = "CACHEDIR.TAG"
+UNREADABLE = "unreadable"
 #: A change may become visible so much later than its time stamp says, so polls overlap by it; readers drop known files.
 OVERLAP_NS = 2_000_000_000
 
@@ -52,13 +57,13 @@ class Rules:
     def skips(self, path: str, name: str) -> bool:
         return (not self.hidden and name.startswith(".")) or any(g.match(name.lower()) for g in self.globs) or self.banned(path)
 
-    def children(self, folder: str) -> tuple[list[os.DirEntry], list[str]]:
-        """(files, folders) of a folder; links are not followed, unreadable folders are empty."""
+    def children(self, folder: str) -> tuple[list[os.DirEntry], list[str], bool]:
+        """(files, folders) of a folder, and whether it could be read; links are not followed."""
         files, folders = [], []
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
-            return files, folders
+            return files, folders, False
         for e in entries:
             if self.skips(e.path, e.name):
                 continue
@@ -67,7 +72,7 @@ class Rules:
                     folders.append(e.path)
             elif e.is_file(follow_symlinks=False):
                 files.append(e)
-        return files, folders
+        return files, folders, True
 
 
 @dataclass
@@ -91,26 +96,38 @@ def divide(rules: Rules, partitions: int, since_ns: int = -1, until_ns: int = 1
     return [p for p in parts if p.deep or p.flat] or [Subtree([], [])]
 
 
+def bytes_of(path: str, most: int) -> tuple[bytes | None, str | None]:
+    """(bytes, status) of a file."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(most), None
+    except OSError:
+        return None, UNREADABLE
+
+
 def walk(rules: Rules, part: Subtree, content: bool) -> Iterator[tuple]:
     """Rows of the files, and of the folders, that changed in the time of the partition."""
     todo = [(f, False) for f in part.flat] + [(d, True) for d in part.deep]
     while todo:
         folder, deep = todo.pop()
-        files, folders = rules.children(folder)
+        files, folders, readable = rules.children(folder)
         todo += [(f, True) for f in folders] if deep else []
         for path, is_dir in [(folder, True), *((e.path, False) for e in files)]:
+            row = (path, os.path.dirname(path), os.path.basename(path))
             try:
                 info = os.lstat(path)
-                # a moved file keeps its time of change but not that of its entry
-                if not part.since_ns < max(info.st_mtime_ns, info.st_ctime_ns) <= part.until_ns:
-                    continue
-                data = None
-                if content and stat.S_ISREG(info.st_mode) and info.st_size <= (most := most_bytes(BY_EXTENSION.get(extension(os.path.basename(path)), ""))):
-                    with open(path, "rb") as f:
-                        data = f.read(most)
+            except FileNotFoundError:
+                continue  # gone since its folder was read
             except OSError:
+                yield *row, None, None, is_dir, None, UNREADABLE
                 continue
-            yield path, os.path.dirname(path), os.path.basename(path), max(int(info.st_mtime), 0), info.st_size, is_dir, data
+            # a moved file keeps its time of change but not that of its entry
+            if not part.since_ns < max(info.st_mtime_ns, info.st_ctime_ns) <= part.until_ns and (readable or not is_dir):
+                continue
+            data, status = None, None if readable or not is_dir else UNREADABLE
+            if content and stat.S_ISREG(info.st_mode) and info.st_size <= (most := most_bytes(BY_EXTENSION.get(extension(row[2]), ""))):
+                data, status = bytes_of(path, most)
+            yield *row, max(int(info.st_mtime), 0), info.st_size, is_dir, data, status
 
 
 class _Reader(DataSourceReader):
@@ -166,19 +183,18 @@ def take_up(indexed: DataFrame, changes: DataFrame, listing: DataFrame) -> DataF
 
     Changed files replace theirs. Below a changed folder, files that are no
     longer listed leave, and listed ones that are not indexed enter: a moved
-    folder shows as a change of its own and its parent's entry only.
+    folder shows as a change of its own and its parent's entry only. What can't be read
+    stays as it is indexed.
     """
     columns = [c for c in indexed.columns if c in listing.columns]
-    now = listing.where("NOT is_dir").select(*columns)
-    changed = changes.where("NOT is_dir").select(*columns).dropDuplicates(["path"])
+    barred = unreadable(listing)
+    now = listing.where("NOT is_dir AND status IS NULL").select(*columns)
+    changed = changes.where("NOT is_dir AND status IS NULL").select(*columns).dropDuplicates(["path"])
     touched = changes.where("is_dir").select(F.col("path").alias("folder")).distinct()
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(steps, 1, n), "/")))
-
     def below(files: DataFrame) -> DataFrame:
-        return files.select("path", F.explode(above).alias("folder")).join(touched, "folder", "left_semi").select("path").distinct()
+        return files.select("path", F.explode(above(F.col("path"))).alias("folder")).join(touched, "folder", "left_semi").select("path").distinct()
 
-    gone = below(indexed).join(now.select("path"), "path", "left_anti")
+    gone = kept_back(below(indexed).join(now.select("path"), "path", "left_anti"), barred)
     entered = below(now.join(indexed.select("path"), "path", "left_anti").join(changed.select("path"), "path", "left_anti"))
     new = now.join(entered, "path", "left_semi").unionByName(changed.join(now.select("path"), "path", "left_semi"))
     kept = indexed.join(changed.select("path"), "path", "left_anti").join(gone, "path", "left_anti")

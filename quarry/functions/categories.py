@@ -38,8 +38,6 @@ for _category, _exts in EXTENSIONS.items():
     for _ext in _exts.split():
         BY_EXTENSION.setdefault(_ext, _category)
 BY_NAME = {word: category for category, words in NAMES.items() for word in words.split()}
-#: Groups of categories in the interface.
-CHIPS = {"media": ("audio", "video"), "other": ("archive", "other")}
 
 
 def category_of(ext: Column) -> Column:

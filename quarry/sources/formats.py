@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import Column
@@ -87,88 +88,58 @@ HTML_LINES = frozenset("li tr dt dd".split())
 _HTML = re.compile(r"<!--(?P<comment>.*?(?:-->|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z0-9]*)[^>]*>", re.S)
 
 
-class _Page:
-    """Finished lines and the line being written; blocks ask for a break that the next text carries out."""
-
-    def __init__(self) -> None:
-        self.lines: list[str] = []
-        self.line, self.lists, self.pre = "", 0, False
-
-    def end_line(self) -> None:
-        if self.line.strip():
-            self.lines.append(self.line.rstrip())
-        self.line = ""
-
-    def end_block(self, blank: bool) -> None:
-        self.end_line()
-        if blank and self.lines and self.lines[-1]:
-            self.lines.append("")
-
-    def write(self, text: str) -> None:
-        if self.pre:
-            *whole, self.line = (self.line + text).split("\n")
-            self.lines += [w.rstrip() for w in whole]
-            return
-        squeezed = " ".join(text.split())
-        marker = not self.line or self.line.endswith(("- ", "# "))
-        if text[:1].isspace() and not marker and not self.line.endswith(" "):
-            self.line += " "
-        self.line += squeezed
-        if squeezed and text[-1:].isspace():
-            self.line += " "
-
-    def tag(self, name: str, closing: bool) -> None:
-        if re.fullmatch("h[1-6]", name):
-            self.end_block(True)
-            self.line = "" if closing else "#" * int(name[1]) + " "
-        elif name in ("ul", "ol"):
-            self.lists = max(self.lists + (-1 if closing else 1), 0)
-            self.end_block(self.lists == 0)
-        elif name == "li" and not closing:
-            self.end_line()
-            self.line = "  " * (self.lists - 1) + "- "
-        elif name in HTML_LINES:
-            self.end_line()
-        elif name in ("td", "th") and not closing and self.line:
-            self.line += " · "
-        elif name == "br":
-            self.lines.append(self.line.rstrip())
-            self.line = ""
-        elif name == "hr":
-            self.end_block(True)
-            self.lines += ["---", ""]
-        elif name == "pre":
-            self.end_block(not closing)
-            self.lines += ["```", ""] if closing else ["```"]
-            self.pre = not closing
-        elif name in HTML_BLOCKS:
-            self.end_block(self.lists == 0)
-
-    def text(self) -> str:
-        self.end_line()
-        joined = "\n".join(self.lines)
-        return re.sub(r"\n{3,}", "\n\n", joined).strip()
+# Marks in the text of a page: the end of a line that holds something, the same with a blank line after it, the end of
+# any line, a blank that stays, and a new cell.
+_END, _GAP, _BREAK, _BLANK, _CELL = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: What elements put in the text where they start and where they end.
+_OPEN = dict.fromkeys(HTML_BLOCKS, _GAP) | dict.fromkeys(HTML_LINES, _END) | {"td": _CELL, "th": _CELL, "br": _BREAK, "hr": f"{_GAP}---{_GAP}", "pre": f"{_GAP}```{_END}"}
+_OPEN |= {f"h{n}": _GAP + "#" * n + _BLANK for n in range(1, 7)}
+_CLOSE = dict.fromkeys(HTML_BLOCKS, _GAP) | dict.fromkeys(HTML_LINES, _END) | {f"h{n}": _GAP for n in range(1, 7)} | {"br": _BREAK, "hr": f"{_GAP}---{_GAP}", "pre": f"{_END}```{_GAP}"}
 
 
-def html_to_text(html: str) -> str:
-    """Markdown-like text: ``#`` headings, ``-`` items, blank lines between paragraphs, blanks collapsed.
+def _marked(html: str) -> Iterator[str]:
+    """The text of a page with marks; inside lists blocks end lines only."""
+    at, depth, kept = 0, 0, False
+    plain = str.maketrans(dict.fromkeys(_END + _GAP + _BREAK + _BLANK + _CELL))
+    stays = str.maketrans({"\n": _BREAK, " ": _BLANK})
+
+    def text(piece: str) -> str:
+        piece = decode_entities(piece).translate(plain)
+        return piece.translate(stays) if kept else re.sub(r"\s+", " ", piece)
 
-    A ``<`` that nothing closes is text, with all that follows it.
-    """
-    page, at = _Page(), 0
     while m := _HTML.search(html, at):
-        page.write(decode_entities(html[at : m.start()]))
-        at = m.end()
-        if m["comment"] is not None:
-            continue
-        name = m["name"].lower()
+        yield text(html[at : m.start()])
+        at, name = m.end(), (m["name"] or "").lower()
         if name in HTML_DROPPED and not m["close"]:
             end = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
+        elif name in ("ul", "ol"):
+            depth = max(0, depth - 1) if m["close"] else depth + 1
+            yield _END if depth else _GAP
+        elif name == "li" and not m["close"]:
+            yield _END + _BLANK * (2 * depth - 2) + "-" + _BLANK
         else:
-            page.tag(name, bool(m["close"]))
-    page.write(decode_entities(html[at:]))
-    return page.text()
+            mark = (_CLOSE if m["close"] else _OPEN).get(name, "")
+            kept = not m["close"] if name == "pre" else kept
+            yield mark.replace(_GAP, _END) if depth and name in HTML_BLOCKS else mark
+    yield text(html[at:])
+
+
+def html_to_text(html: str) -> str:
+    """Markdown-like text: ``#`` headings, ``-`` items, blank lines between paragraphs, blanks collapsed.
+
+    A ``<`` that nothing closes is text, with all that follows it.
+    """
+    marked = re.sub(f"({_BLANK}) +", r"\1", re.sub(" +", " ", "".join(_marked(html))))
+    lines: list[str] = []
+    for m in re.finditer(f"([^{_END}{_GAP}{_BREAK}]*)([{_END}{_GAP}{_BREAK}]?)", marked):
+        cells = m[1].strip(" ").removeprefix(_CELL).replace(_BLANK, " ")
+        line = re.sub(f" ?{_CELL} ?", " · ", cells).rstrip()
+        if line or m[2] == _BREAK:
+            lines.append(line)
+        if m[2] == _GAP and lines and lines[-1]:
+            lines.append("")
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 # ---- office XML ---------------------------------------------------------------

@@ -189,23 +189,21 @@ class Compound:
         return self._chain(start, self.fat, self._block)[:size]
 
 
-# Control characters of Word text, and what stands for them. Fixed values.
-WORD_MARKS = {"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x0e": "\n", "\x07": "\t", "\x1e": "-", "\t": "\t", "\n": "\n"}
+# Control characters of Word text, and what stands for them; others have no text. Fixed values.
+WORD_MARKS = {c: None for c in range(32)} | {ord(c): "\n" for c in "\r\n\x0b\x0c\x0e"} | {7: "\t", 9: "\t", 0x1E: "-"}
+# A field is its instruction between the marks 13 and 14 and its result up to the mark 15.
+_FIELD = re.compile("\x13[^\x13-\x15]*(?:\x14([^\x13-\x15]*))?\x15")
+_FIELD_IN_INSTRUCTION = re.compile("(\x13[^\x13-\x15]*)\x13[^\x13-\x15]*(?:\x14([^\x13-\x15]*))?\x15")
 
 
 def clean_word(raw: str) -> str:
-    """Text without field instructions (between marks 13 and 14) and with control characters replaced."""
-    out, fields = [], []
-    for c in raw:
-        if c == "\x13":
-            fields.append(True)
-        elif c == "\x14":
-            fields[-1:] = [False] * bool(fields)
-        elif c == "\x15":
-            del fields[-1:]
-        elif not (fields and fields[-1]):
-            out.append(c if c >= " " else WORD_MARKS.get(c, ""))
-    return "".join(out)
+    """Text without field instructions, with control characters replaced; of a field in an instruction the result stays."""
+    n = 1
+    while n:
+        raw, inner = _FIELD_IN_INSTRUCTION.subn(lambda m: (m[2] or "") + m[1], raw)
+        raw, outer = (raw, 0) if inner else _FIELD.subn(lambda m: m[1] or "", raw)
+        n = inner + outer
+    return re.sub("\x13[^\x13-\x15]*", "", raw).translate(WORD_MARKS)
 
 
 def word_text(data: bytes) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.paths import covers
 from quarry.functions.query import ParsedQuery, parse
+from quarry.functions.snippets import snippet_column
 from quarry.functions.stems import STEMMERS, stems
 from quarry.functions.text import osa_distance, tokenize_py
 from quarry.plans.index import Index
@@ -106,17 +107,20 @@ def expand(index: Index, asks: list[tuple[int, str, str, bool, bool, bool]]) ->
     )
     kinds = F.filter(kinds, lambda k: k["kind"].isNotNull())
     pairs = dictionary.join(F.broadcast(words), "field").withColumn("k", F.explode(kinds)).select("clause", "field", "term", "df", "word", "most", "k.*")
+    apart = pairs.where("kind <> 'fuzzy'").withColumn("d", F.lit(None).cast("int"))
     if any(r[4] for r in rows):
-        pairs = pairs.withColumn("d", F.when(F.col("kind") == "fuzzy", _osa("term", "word"))).where((F.col("kind") != "fuzzy") | (F.col("d") <= F.col("most")))
+        # a Python function runs on every row it is given: only those that need it
+        close = pairs.where("kind = 'fuzzy'").withColumn("d", _osa("term", "word")).where(F.col("d") <= F.col("most"))
+        pairs = apart.unionByName(close)
     else:
-        pairs = pairs.withColumn("d", F.lit(None).cast("int"))
+        pairs = apart
     in_order = Window.partitionBy("clause", "field", "kind", "stem").orderBy("term")
     seen = pairs.withColumn("pn", F.row_number().over(in_order)).where(F.col("pn") <= max(SCANNED.values()))
     limit = F.create_map(*[F.lit(x) for kv in SCANNED.items() for x in kv])[F.col("kind")]
     seen = seen.where(F.col("pn") <= limit)
     if any(r[5] for r in rows):
         short = F.octet_length("term") <= F.octet_length("word") + MAX_LONGER
-        seen = seen.where((F.col("kind") != "form") | (short & F.when(F.col("kind") == "form", _is_form("term", "stem"))))
+        seen = seen.where("kind <> 'form'").unionByName(seen.where((F.col("kind") == "form") & short).where(_is_form("term", "stem")))
     score = F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "prefix", PREFIX).when(F.col("kind") == "form", FORM)
     score = score.otherwise(F.when(F.col("d") == 0, FUZZY[0]).when(F.col("d") == 1, FUZZY[1]).otherwise(FUZZY[2]))
     terms = seen.groupBy("clause", "field", "term").agg(F.max(score).alias("mult"), F.max("df").alias("df"))
@@ -274,6 +278,21 @@ def search(index: Index, request: Request) -> DataFrame:
     return top.select("file_id", *SHOWN, "score", "matches")
 
 
+def matched_terms(index: Index, request: Request) -> list[str]:
+    """The terms that a search marks in names and texts: all that stand for its words, and those of phrases."""
+    parts = clauses(index, parse(request.query), request.fuzzy, request.word_forms)
+    return sorted({t for c in parts if c.highlighted for _, t, *_ in c.alternatives} | {t for c in parts for t in c.phrase})
+
+
+def search_snippets(index: Index, request: Request) -> DataFrame:
+    """The top files of a search, in order, with ``snippet``: segments of the passage that shows most of the matched terms,
+    typos, beginnings and word forms among them. Only the texts of the top files are read by Python."""
+    top = search(index, request).withColumn("place", F.monotonically_increasing_id())
+    texts = index.files.select("file_id", "content").join(F.broadcast(top), "file_id")
+    shown = texts.withColumn("snippet", snippet_column(F.col("content"), matched_terms(index, request))).drop("content")
+    return shown.orderBy("place").drop("place")
+
+
 def total(index: Index, request: Request) -> DataFrame:
     """One row: the number of matching files, whatever the limit."""
     return matching(index, request).agg(F.count("*").alias("total"))

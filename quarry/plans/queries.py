@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from quarry.functions.categories import BY_EXTENSION
 from quarry.functions.display import display_name, display_path, failure_text, format_count, format_date
 from quarry.functions.paths import skips
 from quarry.functions.query import parse
-from quarry.functions.snippets import snippet_column
 from quarry.operators import sync
-from quarry.operators.search import Request, search, total
+from quarry.functions.text import PAIRS, fold_map, tokenize
+from quarry.operators.library import Library
+from quarry.operators.search import Request, search, search_snippets, total
 from quarry.plans.files import files
-from quarry.plans.index import Index, tokens
-from quarry.plans.session import session_index, spread
+from quarry.plans.index import Index, open_index, tokens, update_index, write_index
+from quarry.plans.session import session_index, shared_dir, spread
 from quarry.sources.decode import html_text_udf
 from quarry.sources.formats import BY_EXTENSION as KIND_OF, classified
 from quarry.streaming.changes import coalesced, from_events
@@ -126,6 +128,53 @@ def _postings(spark, d):
     return p.select("field", "term", "file_id", F.col("tf").cast("long").alias("tf"), F.element_at("positions", 1).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
 
 
+def _upkept(spark: SparkSession, d: str) -> Index:
+    """An index of an older state of the files, brought up to date: every seventh file was missing, every fifth
+    had another text, and there were files that have vanished since."""
+    now = spread(files(spark, d))
+    old = now.where("file_id % 7 <> 0").withColumn("content", F.when(F.col("file_id") % 5 == 0, F.concat(F.lit("former words "), "content")).otherwise(F.col("content")))
+    vanished = now.where("file_id % 11 = 0").withColumn("path", F.concat("path", F.lit(".old"))).withColumn("file_id", -1 - F.col("file_id"))
+    path = f"{shared_dir(spark)}/upkept-{uuid.uuid4().hex}"
+    write_index(old.unionByName(vanished), path)
+    # in two updates, so that one comes on top of the other
+    update_index(spark, path, now.where("file_id % 7 = 0"), vanished.where("file_id % 2 = 0").select("path"))
+    update_index(spark, path, now.where("file_id % 5 = 0"), vanished.where("file_id % 2 <> 0").select("path"))
+    return open_index(spark, path)
+
+
+#: Words of many scripts, dealt to the documents in turn.
+SCRIPTS = ("हिन्दी भाषा में", "தமிழ் மொழி", "ภาษาไทย ๑๒", "Größe ÆØ_x Ístanbul", "日本語、テスト", "עברית שָׁלוֹם", "ελληνικά 3½", "русский ёж")
+#: Signs of those scripts that are parts of words and neither letters nor numbers, as ranges for the SQL. Fixed values.
+SIGNS = "\u0345\u05b0-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7\u0900-\u0903\u093a\u093b\u093e-\u094c\u094e\u094f\u0955-\u0957\u0bbe-\u0bc2\u0bc6-\u0bc8\u0bca-\u0bcc\u0bd7\u0e31\u0e34-\u0e3a\u0e4d"
+
+
+def _scripts(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet"))
+    more = F.element_at(F.array(*map(F.lit, SCRIPTS)), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int"))
+    terms = tokenize(F.concat_ws(" ", F.coalesce("text", F.lit("")), more))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _scripts_sql() -> str:
+    source, target = fold_map()
+    folded = f"translate(lower(x), '{source}', '{target}')"
+    for one, two in PAIRS.items():
+        folded = f"replace({folded}, '{one}', '{two}')"
+    samples = ", ".join(f"'{t}'" for t in SCRIPTS)
+    # as in Spark, words are split first and folded then
+    return f"""WITH w AS (SELECT unnest(regexp_extract_all(coalesce(text, '') || ' ' || [{samples}][(doc_id % {len(SCRIPTS)} + 1)::INT], '[\\p{{L}}\\p{{N}}{SIGNS}]+')) AS x FROM documents)
+SELECT unnest(regexp_extract_all({folded}, '[^ ]+')) AS term, count(*) AS n FROM w WHERE strlen(x) < 48 GROUP BY term""".replace("\\\\", "\\")
+
+
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    """The folders of a library after its rows were added in several orders, in the order it keeps."""
+    library = Library()
+    for folder, deep in [("/lib/src3", True), *ROOTS, ("/lib/src9/en/", False), ("/lib/src2", True)]:
+        library.add(folder, deep)
+    library.remove("/lib/src9/en")
+    return spark.createDataFrame([(i, f, deep) for i, (f, deep) in enumerate(library.folders.items())], "place int, folder string, deep boolean")
+
+
 def _natural(spark, d):
     from quarry.functions.text import natural_key
 
@@ -197,7 +246,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"WITH {FILES} SELECT category, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY category",
     ),
     "glob_exclusions": (
-        lambda s, d: files(s, d).where(~skips(F.substring("path", 6, 10_000), names=("the*", "?r", "*.ZIP"))).select("file_id"),
+        lambda s, d: files(s, d).where(~skips(F.expr("substring(path, 6)"), names=("the*", "?r", "*.ZIP"))).select("file_id"),
         f"WITH {FILES} SELECT file_id FROM files WHERE NOT list_bool_or(list_transform(string_split(path[6:], '/'), lambda c: starts_with(c, '.') OR regexp_full_match(lower(c), 'the.*', 's') OR regexp_full_match(lower(c), '.r', 's') OR regexp_full_match(lower(c), '.*\\.zip', 's')))",
     ),
     "natural_sort": (
@@ -242,6 +291,16 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: files(s, d).groupBy("parent").agg(F.count("*").alias("files"), F.max("mtime").alias("newest")).orderBy("parent"),
         f"WITH {FILES} SELECT parent, count(*) AS files, max(mtime) AS newest FROM files GROUP BY parent ORDER BY parent",
     ),
+    "library_folders": (
+        _library,
+        "SELECT * FROM (VALUES (0, '/lib', FALSE), (1, '/lib/src1', TRUE), (2, '/lib/src2', TRUE), (3, '/lib/src3', TRUE)) AS t(place, folder, deep)",
+    ),
+    "tokenize_scripts": (_scripts, _scripts_sql()),
+    "index_upkeep": (lambda s, d: _upkept(s, d).dictionary, f"WITH {TOKENS} SELECT * FROM dict"),
+    "search_after_upkeep": (
+        lambda s, d: search(_upkept(s, d), Request("thtion attion ", limit=20, fuzzy=False, word_forms=False)).select(*OUT),
+        searched([("thtion", ALL3, False, False), ("attion", ALL3, False, False)]),
+    ),
     "stream_change_dedup": (
         lambda s, d: coalesced(from_events(s.read.parquet(f"{d}/events.parquet"))).select("path", "op", "seq"),
         "SELECT '/lib/user' || user_id || '.txt' AS path, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'delete' ELSE 'upsert' END AS op, arg_max(event_id, (ts, event_id)) AS seq FROM events GROUP BY user_id",
@@ -251,11 +310,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of the top 10, matches in brackets; SQL can't express it, unit tests cover it."""
-    view = files(spark, sf_dir)
-    top = search(session_index(spark, sf_dir), Request("thtion attion ", limit=10, fuzzy=False, word_forms=False)).select("file_id", "path")
-    rows = view.select("file_id", "content").join(F.broadcast(top), "file_id")
-    shown = F.transform("s", lambda x: F.when(x["highlighted"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
-    return rows.withColumn("s", snippet_column(F.col("content"), ["thtion", "attion"])).select("file_id", "path", F.array_join(shown, "").alias("snippet"))
+    hits = search_snippets(session_index(spark, sf_dir), Request("thtion attion ", limit=10, fuzzy=False, word_forms=False))
+    shown = F.transform("snippet", lambda x: F.when(x["highlighted"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
+    return hits.select("file_id", "path", F.array_join(shown, "").alias("snippet"))
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:

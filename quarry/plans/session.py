@@ -29,19 +29,24 @@ def state(spark: SparkSession, path: str) -> str:
     return f"{found['files']}-{found['bytes']}-{found['mark']}"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in the one that all executors share. Where none is set, a local session gets one of its own; a cluster must name one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/quarry/{spark.sparkContext.applicationId}"
+
+
 def session_index(spark: SparkSession, sf_dir: str) -> Index:
     """The stored index of ``documents`` as files: written by the first search over them in their
     present state, opened by later ones. It lies in the shared folder and goes with it."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _BUILT:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="quarry-")
-            spark.conf.set("spark.checkpoint.dir", shared)
-        path = f"{shared.rstrip('/')}/quarry/{app}/index-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         write_index(spread(files(spark, sf_dir)), path)
         _BUILT[key] = path
     return open_index(spark, _BUILT[key])

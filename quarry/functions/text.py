@@ -45,18 +45,31 @@ def tokenize(col: Column) -> Column:
     return F.filter(F.split(joined, " "), lambda x: x != "")
 
 
-@lru_cache(maxsize=1)
-def word_class() -> str:
-    """``WORD_CHAR`` as ranges of characters, for engines that know another version of Unicode; asked of Spark once."""
-    spark = SparkSession.active()
-    points = spark.range(1, 0x110000, 1, 8).where("id NOT BETWEEN 55296 AND 57343")
-    text = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
-    found = sorted(r["id"] for r in points.where(text.rlike(f"^{WORD_CHAR}$")).select("id").collect())
-    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+def _ranges(points: list[int]) -> str:
+    starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
 
 
+@lru_cache(maxsize=2)
+def _class_of(asked: bool) -> str:
+    if asked:
+        points = SparkSession.active().range(1, 0x110000, 1, 8).where("id NOT BETWEEN 55296 AND 57343")
+        text = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        return _ranges(sorted(r["id"] for r in points.where(text.rlike(f"^{WORD_CHAR}$")).select("id").collect()))
+    import regex
+
+    return _ranges([c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"[\p{Alphabetic}\p{N}]", chr(c))])
+
+
+def word_class() -> str:
+    """``WORD_CHAR`` as ranges of characters, for engines that know another version of Unicode.
+
+    Spark is asked once; without a session, this machine's tables must do.
+    """
+    return _class_of(SparkSession.getActiveSession() is not None)
+
+
 def word_pattern(text: str, of: str | None = None) -> re.Pattern:
     """Runs of word characters of a text, by ``of`` or the ``word_class`` of this session."""
     return _ASCII if text.isascii() else re.compile(f"[{of or word_class()}]+")

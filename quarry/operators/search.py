@@ -170,6 +170,11 @@ def filters(request: Request, q: ParsedQuery) -> Column:
     return out
 
 
+def narrowed(request: Request, q: ParsedQuery) -> bool:
+    """Whether predicates on the files' own columns restrict a search."""
+    return bool(q.types or request.categories or request.modified_since is not None or request.folder)
+
+
 def moved(positions: Column, i: int) -> Column:
     return F.transform(positions, lambda p: p - i)
 
@@ -247,13 +252,13 @@ def matching(index: Index, request: Request, columns: tuple[str, ...] = ()) -> D
     q = parse(request.query)
     rows = index.files.where(filters(request, q)).select("file_id", *columns)
     parts = clauses(index, q, request.fuzzy, request.word_forms)
-    narrowed = q.types or request.categories or request.modified_since is not None or request.folder
+    narrow = narrowed(request, q)
     unmet = any(not c.alternatives and not c.phrase for c in parts)
-    if unmet or not (q.has_terms or q.excluded or narrowed):
+    if unmet or not (q.has_terms or q.excluded or narrow):
         return rows.limit(0).select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches"))
     if parts:
         out = scored(index, parts)
-        out = out.join(rows, "file_id") if columns or narrowed else out
+        out = out.join(rows, "file_id") if columns or narrow else out
     else:
         out = rows.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches"))
     for text in q.excluded:
@@ -273,7 +278,14 @@ def search(index: Index, request: Request) -> DataFrame:
     q = parse(request.query)
     sort = "newest" if request.sort == "relevance" and not q.has_terms else request.sort
     direction, column = SORTS[sort]
-    found = matching(index, request, SHOWN).withColumn("score", F.round("score", 6)).withColumn("name_key", F.lower("name"))
+    if sort == "relevance" and not narrowed(request, q):
+        # the best files and those equal to the last of them, cut in each partition before they are joined to their columns
+        ranked = matching(index, request).withColumn("score", F.round("score", 6)).withColumn("_rank", F.rank().over(Window.orderBy(F.desc("score"))))
+        best = ranked.where(F.col("_rank") <= max(request.limit, 1)).drop("_rank")
+        found = best.join(index.files.select("file_id", *SHOWN), "file_id")
+    else:
+        found = matching(index, request, SHOWN).withColumn("score", F.round("score", 6))
+    found = found.withColumn("name_key", F.lower("name"))
     top = found.orderBy(direction(column), "path").limit(max(request.limit, 1))
     return top.select("file_id", *SHOWN, "score", "matches")
 

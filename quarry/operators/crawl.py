@@ -83,3 +83,20 @@ def crawl(spark: SparkSession, root: str, path: str, **options) -> None:
         index = open_index(spark, path).files
     new = changed(now, index.select("path", "mtime", "size"))
     update_index(spark, path, file_rows(new, root, index), deleted(now.where("NOT is_dir OR status IS NOT NULL"), index))
+
+
+def watch(spark: SparkSession, root: str, path: str, checkpoint: str, trigger: dict | None = None, **options):
+    """Keep the index at ``path`` up to date with ``root``: a streaming query that polls the folder.
+
+    ``trigger`` sets the pace (by default every two seconds): all changes of an interval are taken up together. A
+    batch tells that something changed; the crawl it starts compares listing and index, so a repeated or late batch does no harm.
+    """
+    spark.dataSource.register(Folders)
+    polls = spark.readStream.format("folders").schema(SCHEMA).options(path=root, **options).load()
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            crawl(batch.sparkSession, root, path, **options)
+
+    writer = polls.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()

@@ -153,6 +153,26 @@ def compact(spark: SparkSession, path: str, target: str, partitions: int | None
     _store(index.files, index.postings, target, partitions)
 
 
+def move_index(spark: SparkSession, path: str, target: str) -> None:
+    """Write an index to another folder, its changes merged, and compare the two; the old one is left to the caller to remove."""
+    compact(spark, path, target)
+    old, new = open_index(spark, path), open_index(spark, target)
+    mark = lambda i: (i.stats, i.files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "mtime", "size"))).first(), i.dictionary.agg(F.sum("df")).first())
+    if mark(old) != mark(new):
+        raise OSError(f"the index written to {target} differs from that at {path}")
+
+
+def index_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored index, changes included."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def file_at(index: Index, path: str) -> DataFrame:
+    """The row of an indexed file, if there is one."""
+    return index.files.where(F.col("path") == path)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """A stored index with its changes; one of another version must be built anew."""
     found = spark.read.parquet(f"{path}/version").first()["version"]

@@ -1,8 +1,8 @@
 import os
 
-from quarry.operators.crawl import crawl
+from quarry.operators.crawl import crawl, watch
 from quarry.operators.search import Request, search
-from quarry.plans.index import Index, compact, open_index
+from quarry.plans.index import Index, compact, file_at, index_size, move_index, open_index
 
 
 def put(root, **files):
@@ -47,3 +47,23 @@ def test_what_cannot_be_read_stays_indexed(spark, tmp_path, monkeypatch):
     now = spark.createDataFrame([("/r/a", 1, 1, False, None), ("/r/b", None, None, False, "unreadable"), ("/r/shut", 1, 1, True, "unreadable")], cols)
     indexed = spark.createDataFrame([(p, 1, 1) for p in ("/r/a", "/r/b", "/r/gone", "/r/shut/x", "/r/shut/y/z", "/r/shutter")], "path string, mtime long, size long")
     assert {r["path"] for r in deleted(now, indexed).collect()} == {"/r/gone", "/r/shutter"}
+
+
+def test_watch_move_and_size(spark, tmp_path):
+    root, path, check = tmp_path / "w", str(tmp_path / "i"), str(tmp_path / "c")
+    put(root, a="plain oats", b="barley")
+
+    def poll():
+        assert watch(spark, str(root), path, check, {"once": True}).awaitTermination(120)
+        return {r["name"] for r in open_index(spark, path).files.collect()}
+
+    assert poll() == {"a.txt", "b.txt"}
+    os.remove(root / "a.txt")
+    put(root, **{"deep/c": "rye"})
+    assert poll() == {"b.txt", "c.txt"}
+    move_index(spark, path, str(tmp_path / "j"))
+    assert file_at(open_index(spark, str(tmp_path / "j")), f"{root}/deep/c.txt").first()["content"] == "rye"
+    assert 0 < index_size(spark, str(tmp_path / "j")) < index_size(spark, path)
+    os.rename(root, tmp_path / "elsewhere")
+    crawl(spark, str(root), path)
+    assert open_index(spark, path).files.count() == 2

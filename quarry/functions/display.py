@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import tokenize
+
 # Fixed values.
 FAILURES = {"encrypted": "Password protected", "timed-out": "Took too long to read", "crashed": "Couldn't be read safely", "unreadable": "Damaged or unsupported"}
 DATE_RANGES = {"week": 7, "month": 30, "year": 365}
@@ -93,10 +96,28 @@ def next_match(at: Column, step: int, n: Column) -> Column:
 
 def preview_rows(rows: Column) -> Column:
     """Rows of a table with some cell that is not blank, up to the limits of a preview."""
-    some = F.filter(F.slice(rows, 1, MAX_ROWS), lambda r: F.exists(r, lambda c: F.trim(c) != ""))
+    some = F.filter(F.slice(rows, 1, MAX_ROWS), lambda r: F.exists(r, lambda c: c.rlike(r"(?U)\S")))
     return F.transform(some, lambda r: F.slice(r, 1, MAX_COLUMNS))
 
 
+def matching_cells(rows: Column, terms: list[str]) -> Column:
+    """Cells of the rows that a preview shows in which one of the terms stands."""
+    if not terms:
+        return F.lit(0)
+    wanted = F.array(*map(F.lit, terms))
+    return F.size(F.filter(F.flatten(rows), lambda c: F.arrays_overlap(tokenize(c), wanted)))
+
+
+def progress(done: int, total: int, seconds: float, done_before: int = 0) -> str:
+    """How far an update is, and about how long it will take; no estimate in the first three seconds."""
+    counts = f"{done:,} of {total:,}"
+    rate = (done - done_before) / max(seconds, 0.001)
+    if seconds < 3 or rate <= 0:
+        return counts
+    minutes = math.ceil((total - done) / rate / 60)
+    return f"{counts} · " + ("less than a minute left" if minutes <= 1 else f"about {minutes} minutes left")
+
+
 def column_widths(rows: Column) -> Column:
     """Characters of the longest cell of each column."""
     n = F.least(F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)), F.lit(MAX_COLUMNS))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import codecs
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.sources.formats import BY_EXTENSION, cp1252, html_to_text, rtf_to_text, xml_to_text
+from quarry.sources.limits import LIMITED, TookTooLong, limited
 from quarry.sources.packages import MAX_TEXT, WANTED, package_text, pdf_text, spreadsheet_text, word_text
 
 
@@ -44,9 +46,12 @@ def text_of(ext: str, data: bytes) -> str:
 
 
 def extract(ext: str, data: bytes) -> tuple[str | None, str | None]:
-    """(text, failure)."""
+    """(text, failure). Kinds whose readers may run away are read within limits of time and memory."""
     try:
-        return text_of(ext, data).encode("utf-8", "replace")[:MAX_TEXT].decode("utf-8", "ignore"), None
+        with limited() if BY_EXTENSION.get(ext) in LIMITED else nullcontext():
+            return text_of(ext, data).encode("utf-8", "replace")[:MAX_TEXT].decode("utf-8", "ignore"), None
+    except TookTooLong:
+        return None, "timed-out"
     except (MemoryError, RecursionError):
         return None, "crashed"
     except Exception as e:  # any defect of a file is data, not an error of the job

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from decimal import Decimal
 from io import BytesIO
 from xml.etree import ElementTree
 
@@ -93,7 +95,13 @@ def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
                     at -= 1
                 kind, value = c.get("t"), next(_below(c, "v"), None)
                 text = (value.text or "") if value is not None else "".join(t.text or "" for t in _below(c, "t"))
-                cells[at] = shared[int(text)] if kind == "s" and text else {"1": "true", "0": "false"}.get(text, text) if kind == "b" else text
+                if kind == "s" and text:
+                    text = shared[int(text)]
+                elif kind == "b":
+                    text = {"1": "true", "0": "false"}.get(text, text)
+                elif kind in (None, "n") and text:
+                    text = plain_number(text)
+                cells[at] = text
             yield [cells.get(i, "") for i in range(min(max(cells, default=-1) + 1, 16384))]
 
     for sheet in _below(parse("xl/workbook.xml"), "sheet"):
@@ -103,13 +111,24 @@ def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
             yield sheet.get("name", ""), rows(path)
 
 
+def _ods_value(cell) -> str:
+    """What a cell stores: a number, a truth value, a date or a time in ISO form, or else its text."""
+    stored = {local(k): v for k, v in cell.attrib.items()}
+    if "value" in stored:
+        return plain_number(stored["value"])
+    for name in ("string-value", "date-value", "time-value", "boolean-value"):
+        if name in stored:
+            return stored[name]
+    return "\n".join("".join(p.itertext()) for p in _below(cell, "p"))
+
+
 def _ods(z: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
     def rows(table) -> Iterator[list[str]]:
         for row in _below(table, "table-row"):
             cells: list[str] = []
             for c in row:
                 if local(c.tag) in ("table-cell", "covered-table-cell"):
-                    text = "\n".join("".join(p.itertext()) for p in _below(c, "p"))
+                    text = _ods_value(c)
                     # long repetitions are the empty rest of a row
                     again = int(attribute(c, "number-columns-repeated", "1"))
                     cells += [text] * (again if text else min(again, 1024))
@@ -120,22 +139,175 @@ def _ods(z: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
         yield attribute(table, "name"), rows(table)
 
 
+def number(value: float) -> str:
+    """A number in plain digits, without a point if it is whole."""
+    if not math.isfinite(value):
+        return str(value)
+    return str(int(value)) if value == int(value) else format(Decimal(repr(value)), "f")
+
+
+def plain_number(text: str) -> str:
+    """A number as ``number`` writes it; other texts stay as they are."""
+    try:
+        return number(float(text))
+    except ValueError:
+        return text
+
+
+#: What cells with errors show. Fixed values.
+ERRORS = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A", 0x2B: "#GETTING_DATA"}
+
+
+def _records(stream: bytes, at: int = 0) -> Iterator[tuple[int, list[bytes]]]:
+    """(type, parts) of the records of an old workbook's stream; parts beyond the first continue the record."""
+    kind, parts = -1, []
+    while at + 4 <= len(stream):
+        found, size = struct.unpack_from("<HH", stream, at)
+        body, at = stream[at + 4 : at + 4 + size], at + 4 + size
+        if found == 0x3C:
+            parts.append(body)
+            continue
+        if kind >= 0:
+            yield kind, parts
+        kind, parts = found, [body]
+    if kind >= 0:
+        yield kind, parts
+
+
+class _Strings:
+    """Unicode strings of a record that may go on in others: there, characters begin with a new mark of their width."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.parts, self.part, self.at = parts, 0, 0
+
+    def take(self, n: int) -> bytes:
+        out = b""
+        while n > 0 and self.part < len(self.parts):
+            got = self.parts[self.part][self.at : self.at + n]
+            out, n, self.at = out + got, n - len(got), self.at + len(got)
+            if n > 0:
+                self.part, self.at = self.part + 1, 0
+        if n > 0:
+            raise ValueError("a record ends within a string")
+        return out
+
+    def characters(self, n: int, wide: int) -> str:
+        out = []
+        while n > 0:
+            left = len(self.parts[self.part]) - self.at
+            if left <= 0:
+                self.part, self.at = self.part + 1, 0
+                wide = self.take(1)[0] & 1
+                continue
+            count = min(n, max(left >> wide, 1))
+            out.append(self.take(count << wide).decode("utf-16-le" if wide else "latin-1", "replace"))
+            n -= count
+        return "".join(out)
+
+    def text(self, size: str = "<H") -> str:
+        n, flags = struct.unpack(size, self.take(struct.calcsize(size)))[0], self.take(1)[0]
+        runs = struct.unpack("<H", self.take(2))[0] if flags & 8 else 0
+        extra = struct.unpack("<I", self.take(4))[0] if flags & 4 else 0
+        out = self.characters(n, flags & 1)
+        self.take(4 * runs + extra)
+        return out
+
+
+def _packed_number(rk: int) -> float:
+    """A number in 30 bits: whole or the high bits of a double, perhaps a hundredfold."""
+    value = float(struct.unpack("<i", struct.pack("<I", rk))[0] >> 2) if rk & 2 else struct.unpack("<d", struct.pack("<Q", (rk & 0xFFFFFFFC) << 32))[0]
+    return value / 100 if rk & 1 else value
+
+
+def _xls_rows(stream: bytes, at: int, shared: list[str], unicode: bool) -> list[list[str]]:
+    """Rows of the sheet that begins at a place of the stream, from the first to the last row in use."""
+    cells: dict[int, dict[int, str]] = {}
+    waiting: tuple[int, int] | None = None
+    text = lambda parts, skip: _Strings([parts[0][skip:], *parts[1:]]).text() if unicode else cp1252(parts[0][skip + 2 :][: struct.unpack_from("<H", parts[0], skip)[0]])
+    depth = 0
+    for kind, parts in _records(stream, at):
+        body = parts[0]
+        if kind == 0x0809:
+            depth += 1
+        elif kind == 0x000A:
+            depth -= 1
+            if depth == 0:
+                break
+        elif depth != 1:
+            continue  # a chart within the sheet
+        elif kind == 0x0207 and waiting:
+            cells.setdefault(waiting[0], {})[waiting[1]] = text(parts, 0)
+        elif kind == 0x00BD:
+            row, first = struct.unpack_from("<HH", body)
+            for i in range((len(body) - 6) // 6):
+                cells.setdefault(row, {})[first + i] = number(_packed_number(struct.unpack_from("<I", body, 6 + 6 * i)[0]))
+        elif kind in (0x00FD, 0x0204, 0x00D6, 0x0203, 0x027E, 0x0205, 0x0006):
+            row, column = struct.unpack_from("<HH", body)
+            value = ""
+            if kind == 0x00FD:
+                place = struct.unpack_from("<I", body, 6)[0]
+                value = shared[place] if place < len(shared) else ""
+            elif kind in (0x0204, 0x00D6):
+                value = text(parts, 6)
+            elif kind == 0x027E:
+                value = number(_packed_number(struct.unpack_from("<I", body, 6)[0]))
+            elif kind == 0x0203 or body[12:14] != b"\xff\xff" and kind == 0x0006:
+                value = number(struct.unpack_from("<d", body, 6)[0])
+            else:
+                what, content = (body[7] + 1, body[6]) if kind == 0x0205 else (body[6], body[8])
+                value = {1: "true" if content else "false", 2: ERRORS.get(content, "")}.get(what, "")
+                waiting = (row, column) if kind == 0x0006 and what == 0 else None
+            cells.setdefault(row, {})[column] = value
+    used = {r: c for r, c in cells.items() if any(c.values())}
+    left = min((min(k for k, v in c.items() if v) for c in used.values()), default=0)
+    wide = lambda c: [c.get(i, "") for i in range(left, max(c, default=-1) + 1)]
+    return [wide(cells.get(r, {})) for r in range(min(used, default=0), max(used, default=-1) + 1)]
+
+
+def _xls(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """Sheets of an Excel 5 to 2003 workbook."""
+    file = Compound(data)
+    if "EncryptedPackage" in file.entries:
+        raise Encrypted("encrypted workbook")
+    stream = file.stream("Workbook" if "Workbook" in file.entries else "Book")
+    shared, sheets, unicode = [], [], True
+    for kind, parts in _records(stream):
+        body = parts[0]
+        if kind == 0x0809 and not sheets:
+            unicode = struct.unpack_from("<H", body)[0] >= 0x0600
+        elif kind == 0x002F:
+            raise Encrypted("encrypted workbook")
+        elif kind == 0x0085 and body[5] == 0:  # a sheet of cells
+            name = _Strings([body[6:]]).text("<B") if unicode else cp1252(body[7 : 7 + body[6]])
+            sheets.append((name, struct.unpack_from("<I", body)[0]))
+        elif kind == 0x00FC:
+            strings = _Strings(parts)
+            n = struct.unpack_from("<II", strings.take(8))[1]
+            shared = [strings.text() for _ in range(n)]
+        elif kind == 0x000A:
+            break
+    return [(name, _xls_rows(stream, at, shared, unicode)) for name, at in sheets]
+
+
 def spreadsheet_text(data: bytes) -> str:
     """A line a row, tabs between cells; with several sheets each begins with its name."""
     if data.startswith(b"\xd0\xcf\x11\xe0"):
-        raise Encrypted("encrypted workbook") if "EncryptedPackage".encode("utf-16-le") in data else ValueError("old workbook")
+        return _lines(_xls(data))
     with zipfile.ZipFile(BytesIO(data)) as z:
-        sheets = list((_ods if "content.xml" in z.namelist() else _xlsx)(z))
-        out, size = [], 0
-        for name, rows in sheets:
-            out += [name] if len(sheets) > 1 else []
-            for row in rows:
-                out.append("\t".join(re.sub(r"[\t\r\n]", " ", c) for c in row).rstrip("\t"))
-                size += len(out[-1]) + 1
-                if size > MAX_TEXT:
-                    return "\n".join(out)
-            out.append("")
-        return "\n".join([*out, ""])
+        return _lines(list((_ods if "content.xml" in z.namelist() else _xlsx)(z)))
+
+
+def _lines(sheets: list[tuple[str, Iterable[list[str]]]]) -> str:
+    out, size = [], 0
+    for name, rows in sheets:
+        out += [name] if len(sheets) > 1 else []
+        for row in rows:
+            out.append("\t".join(re.sub(r"[\t\r\n]", " ", c) for c in row).rstrip("\t"))
+            size += len(out[-1]) + 1
+            if size > MAX_TEXT:
+                return "\n".join(out)
+        out.append("")
+    return "\n".join([*out, ""])
 
 
 # ---- legacy Word ------------------------------------------------------------------

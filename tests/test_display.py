@@ -37,4 +37,8 @@ def test_ranges_chips_and_previews(spark):
     assert d.categories_of(["media", "pdf"]) == ("audio", "video", "pdf")
     rows = spark.createDataFrame([([["ab", "c"], [" ", ""], ["d"]],), ([],)], "r array<array<string>>")
     found = rows.select(d.preview_rows(F.col("r")).alias("r"), d.column_widths(F.col("r")).alias("w")).collect()
+    cells = spark.createDataFrame([([["Oats, rye", "c"], ["\t\u00a0", ""], ["RYE", "x"]],), ([],)], "r array<array<string>>")
+    shown = cells.select(F.size(d.preview_rows(F.col("r"))).alias("n"), d.matching_cells(F.col("r"), ["rye", "y"]).alias("m"), d.matching_cells(F.col("r"), []).alias("z"))
+    assert [tuple(r) for r in shown.collect()] == [(2, 2, 0), (0, 0, 0)]
+    assert d.progress(50, 1200, 2) == "50 of 1,200" and d.progress(1100, 1200, 10) == "1,100 of 1,200 · less than a minute left" and d.progress(200, 12000, 10, 100) == "200 of 12,000 · about 20 minutes left"
     assert found[0]["r"] == [["ab", "c"], ["d"]] and found[0]["w"] == [2, 1] and found[1]["w"] == []

@@ -29,9 +29,14 @@ def word_file(text: str, flags: int = 0) -> bytes:
     pieces = struct.pack("<3I", 0, n, n + 3) + struct.pack("<HIH", 0, 2048, 0) + struct.pack("<HIH", 0, 0x40000000 | 12000, 0)
     table = b"\x01\x02\x00ab\x02" + struct.pack("<I", len(pieces)) + pieces
     struct.pack_into("<II", head, 0x1A2, 0, len(table))
-    streams = [("WordDocument", bytes(head)), ("0Table", table.ljust(4096, b"\0"))]
+    return compound(WordDocument=bytes(head), **{"0Table": table})
+
+
+def compound(**streams: bytes) -> bytes:
+    """A compound file of some streams."""
+    streams = {k: v.ljust(max(4096, -(-len(v) // 512) * 512), b"\0") for k, v in streams.items()}
     fat, body, entries = [0xFFFFFFFD, 0xFFFFFFFE], b"", [("Root Entry", 5, 0xFFFFFFFE, 0)]
-    for name, data in streams:
+    for name, data in streams.items():
         first, count = len(fat), len(data) // 512
         fat += [first + i + 1 for i in range(count - 1)] + [0xFFFFFFFE]
         body += data
@@ -42,6 +47,24 @@ def word_file(text: str, flags: int = 0) -> bytes:
     return header + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))) + directory.ljust(512, b"\0") + body
 
 
+def xls_file(*extra: bytes) -> bytes:
+    """An old workbook of two sheets; its second shared string goes on in another record, there in wide characters."""
+    rec = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    bof = rec(0x0809, struct.pack("<HH", 0x0600, 5).ljust(16, b"\0"))
+    sst = rec(0x00FC, struct.pack("<II", 3, 3) + struct.pack("<HB", 4, 0) + b"oats" + struct.pack("<HBH", 6, 8, 1) + b"rye")
+    sst += rec(0x003C, b"\x01" + " €!".encode("utf-16-le") + bytes(4) + struct.pack("<HB", 1, 1) + "ж".encode("utf-16-le"))
+    cell = lambda kind, row, column, body: rec(kind, struct.pack("<HHH", row, column, 0) + body)
+    one = bof + cell(0x00FD, 2, 1, struct.pack("<I", 0)) + cell(0x00FD, 2, 2, struct.pack("<I", 1)) + cell(0x0203, 3, 1, struct.pack("<d", 0.1))
+    one += cell(0x027E, 3, 2, struct.pack("<i", (1250 << 2) | 3)) + rec(0x00BD, struct.pack("<HHHIHIH", 3, 3, 0, (7 << 2) | 2, 0, (8 << 2) | 2, 4))
+    one += cell(0x0006, 5, 1, bytes(6) + b"\xff\xff") + rec(0x0207, struct.pack("<HB", 3, 0) + b"a\tb") + cell(0x0205, 5, 2, b"\x01\x00") + cell(0x0205, 5, 3, b"\x07\x01")
+    one += cell(0x0006, 5, 4, struct.pack("<d", 1e21)) + rec(0x000A, b"")
+    two = bof + cell(0x00FD, 0, 0, struct.pack("<I", 2)) + rec(0x000A, b"")
+    sheet = lambda at, name: rec(0x0085, struct.pack("<IBBBB", at, 0, 0, len(name), 0) + name)
+    build = lambda a, b: bof + b"".join(extra) + sheet(a, b"One") + sheet(b, b"Two") + sst + rec(0x000A, b"")
+    size = len(build(0, 0))
+    return compound(Workbook=build(size, size + len(one)) + one + two)
+
+
 def pdf_file(extra: bytes = b"") -> bytes:
     shown = zlib.compress(rb"BT /F1 12 Tf 1 0 0 1 0 0 Tm (Hello \(big\)) Tj 0 -14 Td [(wor) -20 (ld) -400 (ag\351in)] TJ ET BT /F2 9 Tf <00010002> Tj ET")
     cmap = b"1 beginbfchar <0001> <006F> endbfchar 1 beginbfrange <0002> <0003> <006B> endbfrange"
@@ -60,6 +83,10 @@ XLSX = {
     "xl/worksheets/sheet1.xml": SHEET,
     "xl/sharedStrings.xml": "<sst><si><t>Kilimanjaro</t></si></sst>",
 }
+ODS_VALUES = (
+    '<d xmlns:t="t" xmlns:o="o"><t:table t:name="A"><t:table-row><t:table-cell o:value-type="float" o:value="1200.50"><p>1,200.50</p></t:table-cell><t:table-cell o:value-type="date" o:date-value="2024-03-05"><p>5 March</p></t:table-cell>'
+    '<t:table-cell o:value-type="boolean" o:boolean-value="true"><p>WAHR</p></t:table-cell><t:table-cell o:value-type="string"><p>as shown</p></t:table-cell></t:table-row></t:table></d>'
+)
 ODS = '<d xmlns:t="t"><t:table t:name="A"><t:table-row><t:table-cell><p>a</p></t:table-cell><t:table-cell t:number-columns-repeated="9999"/></t:table-row></t:table><t:table t:name="B"/></d>'
 
 
@@ -74,6 +101,8 @@ ODS = '<d xmlns:t="t"><t:table t:name="A"><t:table-row><t:table-cell><p>a</p></t
         ("xlsx", packed(**XLSX), "Kilimanjaro\t\t1200\n\n\n"),
         ("ods", packed(**{"content.xml": ODS}), "A\na\n\nB\n\n"),
         ("doc", word_file("Caf\x13 HYPERLINK \x14é\x15 €\r"), "Café €\né!\n"),
+        ("xls", xls_file(), "One\noats\trye €!\n0.1\t12.5\t7\t8\n\na b\ttrue\t#DIV/0!\t1000000000000000000000\n\nTwo\nж\n\n"),
+        ("ods", packed(**{"content.xml": ODS_VALUES}), "1200.5\t2024-03-05\ttrue\tas shown\n\n"),
         ("pdf", pdf_file(), "Hello (big)\nworld agéin\nok"),
         ("rtf", rb"{\rtf1{\fonttbl{\f1 Times;}}\f1 Slow \i river\i0\par Se\'f1or \%s?{\*\y out}}" % b"u8364", "Slow river\nSeñor €"),
         ("html", b"<p>a<script>x</script>", "a"),
@@ -83,7 +112,7 @@ def test_every_kind(ext, data, text):
     assert extract(ext, data) == (text, None)
 
 
-@pytest.mark.parametrize("ext,data,failure", [("pdf", b"%PDF-1.4 broken", "unreadable"), ("pdf", pdf_file(b"trailer << /Encrypt 9 0 R >>"), "encrypted"), ("doc", word_file("x", 0x100), "encrypted"), ("docx", b"PK", "unreadable"), ("xls", b"", "unreadable"), ("png", b"x", "unreadable")])
+@pytest.mark.parametrize("ext,data,failure", [("pdf", b"%PDF-1.4 broken", "unreadable"), ("pdf", pdf_file(b"trailer << /Encrypt 9 0 R >>"), "encrypted"), ("doc", word_file("x", 0x100), "encrypted"), ("docx", b"PK", "unreadable"), ("xls", b"", "unreadable"), ("xls", xls_file(b"\x2f\x00\x02\x00ab"), "encrypted"), ("xls", compound(EncryptedPackage=b"x"), "encrypted"), ("xls", xls_file()[:1100], "unreadable"), ("png", b"x", "unreadable")])
 def test_failures_are_data(ext, data, failure):
     assert extract(ext, data) == (None, failure)
 
@@ -117,3 +146,27 @@ def test_classified(spark):
 def test_extraction_as_a_column(spark):
     df = spark.createDataFrame([("txt", b"caf\xe9"), ("pdf", b""), (None, None)], "ext string, data binary")
     assert [tuple(r["x"]) for r in df.select(extract_udf("ext", "data").alias("x")).collect()] == [("café", None), (None, "unreadable"), (None, "unreadable")]
+
+
+def test_limits(monkeypatch):
+    from quarry.sources import decode, limits
+
+    def forever(data):
+        while True:
+            try:
+                sum(range(1000))
+            except Exception:
+                pass
+
+    quick = limits.limited
+    monkeypatch.setattr(decode, "pdf_text", forever)
+    monkeypatch.setattr(decode, "limited", lambda: quick(cpu=0.2))
+    assert extract("pdf", b"") == (None, "timed-out")
+    monkeypatch.setattr(decode, "pdf_text", lambda data: str(bytearray(3 << 30)))
+    assert extract("pdf", b"") == (None, "crashed")
+    with pytest.raises(limits.TookTooLong), quick(wall=0.1):
+        import time
+
+        time.sleep(5)
+    monkeypatch.setattr(decode, "pdf_text", lambda data: "fine")
+    assert extract("pdf", b"") == ("fine", None)

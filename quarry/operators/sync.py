@@ -52,6 +52,11 @@ def folder_counts(files: DataFrame, roots: list[tuple[str, bool]]) -> DataFrame:
     return files.agg(*counts).select(F.explode(rows).alias("r")).select("r.root", "r.files")
 
 
+def total_files(files: DataFrame, roots: list[tuple[str, bool]]) -> DataFrame:
+    """(files): the sum over all roots; a file below several roots counts in each."""
+    return folder_counts(files, roots).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+
+
 def upsert(indexed: DataFrame, rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """The index after ``rows`` replace those of equal path and the paths in ``gone`` leave."""
     out = indexed.join(rows.select("path"), "path", "left_anti")

@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.categories import BY_EXTENSION
-from quarry.functions.display import display_name, display_path, failure_text, format_count, format_date
-from quarry.functions.paths import skips
+from quarry.functions.display import (
+    categories_of,
+    column_widths,
+    description,
+    display_name,
+    display_path,
+    failure_text,
+    format_count,
+    format_date,
+    markup,
+    matching_cells,
+    next_match,
+    preview_rows,
+    since,
+)
+from quarry.functions.paths import covers, excluded, skips
 from quarry.functions.query import parse
 from quarry.operators import sync
 from quarry.functions.text import PAIRS, fold_map, tokenize
@@ -19,9 +34,9 @@ from quarry.operators.search import Request, search, search_snippets, total
 from quarry.plans.files import files
 from quarry.plans.index import Index, open_index, tokens, update_index, write_index
 from quarry.plans.session import session_index, shared_dir, spread
-from quarry.sources.decode import html_text_udf
+from quarry.sources.decode import extract_udf, html_text_udf
 from quarry.sources.formats import BY_EXTENSION as KIND_OF, classified
-from quarry.streaming.changes import coalesced, from_events
+from quarry.streaming.changes import alive, apply_batch, coalesced, from_events
 
 # ---- SQL ----------------------------------------------------------------
 
@@ -175,6 +190,53 @@ def _library(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, f, deep) for i, (f, deep) in enumerate(library.folders.items())], "place int, folder string, deep boolean")
 
 
+def _previews(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a table of words a line, as its preview shows it."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.split(x, " "))
+    shown = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", preview_rows(lines).alias("rows"))
+    return shown.select(
+        "doc_id",
+        F.size("rows").cast("long").alias("n_rows"),
+        F.array_join(column_widths(F.col("rows")).cast("array<string>"), ",").alias("widths"),
+        matching_cells(F.col("rows"), ["the", "555"]).cast("long").alias("matching"),
+    )
+
+
+PREVIEWS = r"""WITH r AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10))[1:500], lambda l: string_split(l, ' ')),
+  lambda c: coalesce(list_bool_or(list_transform(c, lambda x: regexp_matches(x, '[^\s\x{0b}\x{85}\p{Z}]'))), FALSE)), lambda c: c[1:40]) AS rows FROM documents)
+SELECT doc_id, len(rows)::BIGINT AS n_rows,
+  coalesce(array_to_string(list_transform(range(1, coalesce(list_max(list_transform(rows, lambda c: len(c))), 0) + 1), lambda i: list_max(list_transform(rows, lambda c: coalesce(length(c[i]), 0)))), ','), '') AS widths,
+  len(list_filter(flatten(rows), lambda c: list_has_any(list_filter(regexp_extract_all(replace(strip_accents(lower(c)), 'ß', 'ss'), '[\p{L}\p{N}]+'), lambda x: strlen(x) < 48), ['the', '555'])))::BIGINT AS matching FROM r"""
+
+
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as bytes in three encodings and read again."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    utf8 = F.encode("text", "UTF-8")
+    data = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8)
+    return docs.select("doc_id", extract_udf(F.lit("txt"), data).alias("x")).select("doc_id", F.md5("x.text").alias("text_md5"), "x.failure")
+
+
+def _change_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state after the events came in three batches, none of them in order."""
+    events = from_events(spark.read.parquet(f"{d}/events.parquet"))
+    state = coalesced(events.where("seq % 3 = 1"))
+    for i in (2, 0):
+        state = apply_batch(state, events.where(F.col("seq") % 3 == i))
+    return alive(state).select("path", "seq")
+
+
+def _shown_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What a list of results shows of each file: marked text, its description, the match before the current one."""
+    segments = F.array(
+        F.struct(F.concat("dir_text", F.lit(" & <"), "ext", F.lit(">'\"")).alias("text"), F.lit(False).alias("highlighted")),
+        F.struct(F.col("name").alias("text"), F.lit(True).alias("highlighted")),
+    )
+    passage = F.when(F.col("file_id") % 3 == 0, " ").when(F.col("file_id") % 3 == 1, F.col("name"))
+    before = next_match(F.col("file_id") % 5, -1, F.col("file_id") % 7)
+    return files(spark, d).select("file_id", markup(segments).alias("marked"), description(passage, F.col("parent")).alias("description"), before.cast("long").alias("before"))
+
+
 def _natural(spark, d):
     from quarry.functions.text import natural_key
 
@@ -287,7 +349,53 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
   CASE failure WHEN 'encrypted' THEN 'Password protected' WHEN 'timed-out' THEN 'Took too long to read' WHEN 'crashed' THEN 'Couldn''t be read safely' WHEN 'unreadable' THEN 'Damaged or unsupported' END AS failure
   FROM (SELECT *, make_timestamp(mtime * 1000000) AS m FROM files)""",
     ),
-    "library_order": (
+    "filter_category": (
+        _search(query="type:pdf ext:csv ext:jpg", categories=("pdf", "spreadsheet"), limit=60),
+        searched(where="category IN ('pdf', 'spreadsheet') AND (category = 'pdf' OR ext IN ('csv', 'jpg'))", order="mtime DESC, path", limit=60),
+    ),
+    "filter_chips": (_search(categories=categories_of(["media", "document"]), limit=70), searched(where="category IN ('audio', 'video', 'document')", order="mtime DESC, path", limit=70)),
+    "filter_date_range": (
+        _search(modified_since=since("month", datetime(2024, 2, 5, tzinfo=UTC)), sort="oldest", limit=30),
+        searched(where=f"mtime >= {1707091200 - 30 * 86400}", order="mtime, path", limit=30),
+    ),
+    "empty_request": (_search(), searched(where="FALSE")),
+    "search_unmatchable": (_search(query="zzqxvw that ", fuzzy=False), searched([("zzqxvw", ALL3, False, False), ("that", ALL3, False, False)])),
+    "match_all_excluding": (_total(query="-that "), searched(excluded=["that"], limit=0, columns="count(*) AS total")),
+    "exclude_phrase": (
+        _search(query='that -"of the" ', fuzzy=False),
+        searched(
+            [("that", ALL3, False, False)],
+            where="file_id NOT IN (SELECT a.file_id FROM tok a JOIN tok b ON b.field = a.field AND b.file_id = a.file_id AND b.pos = a.pos + 1 AND b.term = 'the' WHERE a.term = 'of')",
+        ),
+    ),
+    "excluded_folders": (
+        lambda s, d: files(s, d).where(~excluded(F.col("path"), ("/lib/src1/en", "/lib/src4/"))).select("file_id"),
+        f"WITH {FILES} SELECT file_id FROM files WHERE NOT starts_with(path, '/lib/src1/en/') AND NOT starts_with(path, '/lib/src4/')",
+    ),
+    "folder_coverage": (
+        lambda s, d: files(s, d).select("file_id", covers(F.col("path"), F.col("parent"), "/lib/src1", True).alias("deep"), covers(F.col("path"), F.col("parent"), "/lib/src1/en/", False).alias("flat")),
+        f"WITH {FILES} SELECT file_id, starts_with(path, '/lib/src1/') AS deep, parent = '/lib/src1/en' AS flat FROM files",
+    ),
+    "delete_subtree": (
+        lambda s, d: sync.delete_under(_listing(s, d), "/lib/src3"),
+        f"WITH {FILES} SELECT path, mtime, size FROM files WHERE NOT starts_with(path, '/lib/src3/')",
+    ),
+    "folder_total": (
+        lambda s, d: sync.total_files(files(s, d), ROOTS),
+        f"WITH {FILES} SELECT count(*) FILTER (WHERE starts_with(path, '/lib/src1/')) + count(*) FILTER (WHERE parent = '/lib/src1/en') + count(*) FILTER (WHERE parent = '/lib/src2/fr') + count(*) FILTER (WHERE starts_with(path, '/lib/src3/')) + count(*) FILTER (WHERE parent = '/lib') AS files FROM files",
+    ),
+    "preview_tables": (_previews, PREVIEWS),
+    "decoded_texts": (_decoded, "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, NULL::VARCHAR AS failure FROM documents"),
+    "shown_hits": (
+        _shown_hits,
+        f"""WITH {FILES} SELECT file_id, dir_text || ' &amp; &lt;' || ext || '&gt;&apos;&quot;<b>' || name || '</b>' AS marked, CASE WHEN file_id % 3 = 1 THEN name ELSE parent END AS description,
+  CASE WHEN file_id % 7 > 0 THEN (file_id % 5 - 1 + file_id % 7) % (file_id % 7) END AS before FROM files""",
+    ),
+    "change_state": (
+        _change_state,
+        "SELECT '/lib/user' || user_id || '.txt' AS path, arg_max(event_id, (ts, event_id)) AS seq FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error'",
+    ),
+    "files_by_folder": (
         lambda s, d: files(s, d).groupBy("parent").agg(F.count("*").alias("files"), F.max("mtime").alias("newest")).orderBy("parent"),
         f"WITH {FILES} SELECT parent, count(*) AS files, max(mtime) AS newest FROM files GROUP BY parent ORDER BY parent",
     ),

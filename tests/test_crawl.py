@@ -1,6 +1,6 @@
 import os
 
-from quarry.operators.crawl import crawl, watch
+from quarry.operators.crawl import crawl, extraction_stats, watch
 from quarry.operators.search import Request, search
 from quarry.plans.index import Index, compact, file_at, index_size, move_index, open_index
 
@@ -67,3 +67,32 @@ def test_watch_move_and_size(spark, tmp_path):
     os.rename(root, tmp_path / "elsewhere")
     crawl(spark, str(root), path)
     assert open_index(spark, path).files.count() == 2
+
+
+def test_chunks_progress_and_stop(spark, tmp_path):
+    root, path = tmp_path / "w", str(tmp_path / "i")
+    put(root, **{f"f{i}": f"word{i} oats" for i in range(9)})
+    heard, asked = [], iter([False, False, True])
+    assert not crawl(spark, str(root), path, chunk=3, stop=lambda: next(asked), progress=lambda *x: heard.append(x))
+    some = open_index(spark, path).files.count()
+    assert 0 < some < 9 and heard[-1] == (some, 9) and len(heard) == 2
+    os.remove(root / "f0.txt")
+    assert crawl(spark, str(root), path, chunk=4, progress=lambda *x: heard.append(x))
+    index = open_index(spark, path)
+    assert {r["name"] for r in index.files.collect()} == {f"f{i}.txt" for i in range(1, 9)} and heard[-1][0] == heard[-1][1]
+    assert index.files.select("file_id").distinct().count() == 8 and state(index) == state(Index(index.files))
+
+
+def test_rescan_and_stats_of_kinds(spark, tmp_path):
+    root, path = tmp_path / "w", str(tmp_path / "i")
+    put(root, a="plain oats")
+    (root / "b.pdf").write_bytes(b"no pdf")
+    (root / "c.jpg").write_bytes(b"x")
+    found = {r["kind"]: (r["files"], r["failed"], r["bytes"], r["chars"]) for r in extraction_stats(spark, str(root)).collect()}
+    assert found == {"text": (1, 0, 10, 10), "pdf": (1, 1, 6, 0)}
+    assert watch(spark, str(root), path, str(tmp_path / "c"), {"once": True}).awaitTermination(120)
+    assert open_index(spark, path).files.count() == 3
+    # a file that came with an old time shows in no poll; a crawl that is due finds it
+    asked = []
+    assert watch(spark, str(root), path, str(tmp_path / "c"), {"once": True}, rescan=0, stop=lambda: bool(asked.append(1))).awaitTermination(120)
+    assert asked

@@ -189,13 +189,15 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     The text of a pair with more pairs is its hub. The other's elements travel to the hub's, which
     stand in one place for every ``CHUNK`` of its pairs: a hub of many is dealt to many tasks.
+    Both tables of pairs are read several times, so they are kept: else the driver plans their making as often.
     """
+    pairs = keep(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
     for side in ("a", "b"):
         pairs = pairs.join(degree.select(F.col("n").alias(side), F.col("d").alias(f"d{side}")), side)
     more = F.col("da") >= F.col("db")
     pairs = pairs.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("spoke"), F.greatest("da", "db").alias("d"))
-    pairs = pairs.select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("d") / CHUNK)).alias("chunk"))
+    pairs = keep(pairs.select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("d") / CHUNK)).alias("chunk")))
     hubs = pairs.select("hub", "chunk").distinct().join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("ea")), "hub")
     spokes = pairs.join(sets.select(F.col("node").alias("spoke"), F.col("elements").alias("eb")), "spoke")
     both = F.size(F.array_intersect("ea", "eb"))
@@ -209,7 +211,7 @@ def spokes(buckets: DataFrame) -> DataFrame:
     becomes the hub of nearly all the group's buckets.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    company = buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"))
+    company = keep(buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")))
     return _star(buckets.join(company, "node"), F.struct("company", "node"), F.lit(True))
 
 
@@ -249,7 +251,7 @@ def rest_pairs(open_buckets: DataFrame, sets: DataFrame, similarity: float) -> D
     prefix = keep(prefix.where("e.df > 1").select("node", "component", "n", "at", F.col("e.element").alias("element")))
     shares = prefix.groupBy("element", "component").agg(F.count("*").alias("m"))
     largest = shares.groupBy("element").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("components"))
-    told = prefix.join(largest.where("components > 1"), "element")
+    told = prefix.join(keep(largest.where("components > 1")), "element")
     side = lambda df, i: df.select("element", *[F.col(c).alias(c + i) for c in ("node", "component", "n", "at")])
     left, right = side(told.where("component <> largest"), "x"), side(told, "y")
     overlap = F.ceil((F.col("nx") + F.col("ny")) * similarity / (1 + similarity) - 1e-9)
@@ -306,7 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     named = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = edges.select(F.col("b").alias("node")).distinct().join(named, "node", "left_anti")
-    return named.unionByName(roots.select("node", F.col("node").alias("component")))
+    return keep(named.unionByName(roots.select("node", F.col("node").alias("component"))))
 
 
 def near_duplicates(
@@ -341,14 +343,12 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, columns unchanged: that with the least doc_id (of equals, any one)."""
     node = text_node(docs, F.col(f"`{text_col}`"))
-    told = near_duplicates(docs, id_col=id_col, text_col=text_col, node=node, **options)
+    told = keep(near_duplicates(docs, id_col=id_col, text_col=text_col, node=node, **options))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("node").alias("t"))
     first = told.groupBy("component").agg(F.min(order).alias("_k"))
     counts = told.groupBy("doc_id", "node").agg(F.count("*").alias("_copies"))
-    chosen = first.select(F.col("_k.i").alias("doc_id"), F.col("_k.t").alias("node"))
-    chosen = chosen.join(counts, chosen["doc_id"].eqNullSafe(counts["doc_id"]) & (chosen["node"] == counts["node"])).select(
-        chosen["doc_id"].alias("_id"), chosen["node"].alias("_node"), "_copies"
-    )
+    chosen = first.select(F.col("_k.i").alias("_id"), F.col("_k.t").alias("_node"))
+    chosen = keep(chosen.join(counts, chosen["_id"].eqNullSafe(counts["doc_id"]) & (chosen["_node"] == counts["node"])).select("_id", "_node", "_copies"))
     names = docs.columns
     rows = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (node == F.col("_node")))
     single = rows.where("_copies = 1").select(*[F.col(f"`{c}`") for c in names])

@@ -254,6 +254,23 @@ def test_two_texts_with_one_64_bit_hash_stay_apart(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.op2_dartminhash(docs).collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_near_duplicates_plan_nothing_twice(spark, monkeypatch):
+    # the driver holds each query's whole plan, so what several branches read is a kept table
+    joins, keep = [], dartminhash.keep
+
+    def planned(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return df
+
+    monkeypatch.setattr(dartminhash, "keep", lambda df: keep(planned(df)))
+    chain = words_of(6, 160)
+    docs = make(spark, [(i, " ".join(chain[i : i + 100]), "a") for i in range(0, 60, 3)] + [(100 + i, prose(i, 100), "a") for i in range(5)])
+    planned(dartminhash.op2_dartminhash(docs))
+    out = planned(dartminhash.drop_near_duplicates(docs)).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, *range(100, 105)]
+    assert max(joins) <= 8
+
+
 def test_hot_buckets_change_nothing(spark, monkeypatch):
     shared = prose(5, 60)
     docs = make(spark, [(i, f"{prose(100 + i, 30)} {shared} {prose(200 + i, 30)}", "a") for i in range(40)])

@@ -8,24 +8,86 @@ together; ``compact`` writes them as a new base.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import tokenize
 
 FIELDS = {"name": "name", "dir": "dir_text", "content": "content"}
 VERSION = "4"
+#: Terms that are grouped at a time, unless one text has more; postings in a batch to Spark.
+CHUNK, BATCH = 1 << 20, 1 << 16
+#: Order of stored postings.
+ORDER = ("term", "field", "file_id")
+
+
+def _texts(files: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(field, file_id, terms): a row a field of a file, with its terms in order."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(FIELDS[f]).alias("text")) for f in fields])
+    return files.select("file_id", F.explode(each).alias("f")).select("f.field", "file_id", tokenize(F.col("f.text")).alias("terms"))
 
 
 def tokens(files: DataFrame, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """(field, file_id, len, pos, term): every term of every field; len is the field's number of terms."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(FIELDS[f]).alias("text")) for f in fields])
-    rows = files.select("file_id", F.explode(each).alias("f")).select("f.field", "file_id", tokenize(F.col("f.text")).alias("terms"))
-    return rows.withColumn("len", F.size("terms")).select("field", "file_id", "len", F.posexplode("terms").alias("pos", "term"))
+    return _texts(files, fields).withColumn("len", F.size("terms")).select("field", "file_id", "len", F.posexplode("terms").alias("pos", "term"))
+
+
+def _grouped(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype("int64"))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+            yield batch.slice(at, to - at), np.diff(ends[at:to] - before, prepend=0)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lens in (c for batch in batches for c in chunks(batch)):
+            known = rows.column("terms").flatten().dictionary_encode()
+            if not len(known):
+                continue
+            row = np.repeat(np.arange(len(lens)), lens)
+            key = row * len(known.dictionary) + known.indices.to_numpy()
+            # stable: the places of a term stay in order
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            row, code = np.divmod(key[starts], len(known.dictionary))
+            tf = np.diff(starts, append=len(key))
+            places = (order - np.repeat((np.cumsum(lens) - lens)[row], tf)).astype("int32")
+            for a in range(0, len(starts), BATCH):
+                b = min(a + BATCH, len(starts))
+                own, cuts = pa.array(row[a:b]), np.append(starts[a:b], starts[b] if b < len(starts) else len(key))
+                out = {
+                    "field": rows.column("field").take(own),
+                    "term": known.dictionary.take(pa.array(code[a:b])),
+                    "file_id": rows.column("file_id").take(own),
+                    "tf": pa.array(tf[a:b].astype("int32")),
+                    "len": pa.array(lens[row[a:b]].astype("int32")),
+                }
+                if "positions" in schema.names:
+                    out["positions"] = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype("int32")), pa.array(places[cuts[0] : cuts[-1]]))
+                yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def posted(files: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), positions: bool = True) -> DataFrame:
+    """(field, term, file_id, tf, len, positions): the terms of each field of each row, grouped where the row is read: no shuffle."""
+    rows = _texts(files, fields)
+    kinds = [("field", T.StringType()), ("term", T.StringType()), ("file_id", rows.schema["file_id"].dataType), ("tf", T.IntegerType()), ("len", T.IntegerType())]
+    schema = T.StructType([T.StructField(*k) for k in kinds + [("positions", T.ArrayType(T.IntegerType()))] * positions])
+    return rows.mapInArrow(_grouped(to_arrow_schema(schema)), schema)
 
 
 @dataclass
@@ -46,14 +108,23 @@ class Index:
         """
         if self.stored is not None:
             return self.stored
-        grouped = tokens(self.files).groupBy("field", "term", "file_id")
-        return grouped.agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        return self._merged(posted(self.files), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
     def counts(self, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-        """(field, term, file_id, tf, len) without positions, summed before the shuffle."""
+        """(field, term, file_id, tf, len) without positions."""
         if self.stored is not None:
             return self.stored.where(F.col("field").isin(*fields)).select("field", "term", "file_id", "tf", "len")
-        return tokens(self.files, fields).groupBy("field", "term", "file_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+        return self._merged(posted(self.files, fields, positions=False))
+
+    @cached_property
+    def repeated(self) -> bool:
+        """Whether several rows of the files have one id; only then a posting's parts meet in a shuffle."""
+        return not self.files.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    def _merged(self, rows: DataFrame, *more: Column) -> DataFrame:
+        if not self.repeated:
+            return rows
+        return rows.groupBy("field", "term", "file_id").agg(F.sum("tf").cast("int").alias("tf"), F.max("len").alias("len"), *more)
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -94,11 +165,15 @@ def _totals(spark: SparkSession, n: int, sums: DataFrame) -> DataFrame:
     return fields.join(F.broadcast(sums), "field", "left").select("field", F.lit(n).cast("long").alias("n"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
-def _store(files: DataFrame, postings: DataFrame, path: str, partitions: int | None = None) -> None:
-    spark = files.sparkSession
-    files.write.parquet(f"{path}/files")
-    # from the written postings on: texts are analysed once
-    _sorted(postings, ("field", "term", "file_id"), partitions).write.parquet(f"{path}/postings")
+def _write_segments(index: Index, path: str, partitions: int | None = None) -> None:
+    """The postings of an index of files, each task's in the order of terms; ranged over all tasks if their number is given."""
+    rows = index.postings
+    rows = _sorted(rows, ORDER, partitions) if partitions else rows.sortWithinPartitions(*ORDER)
+    rows.write.mode("overwrite").parquet(path)
+
+
+def _summed(spark: SparkSession, path: str) -> None:
+    """Dictionary, statistics and version of a new base, from its written files and postings: texts are analysed once."""
     written = spark.read.parquet(f"{path}/postings")
     _sorted(written.groupBy("field", "term").agg(F.count("*").alias("df")), ("field", "term")).write.parquet(f"{path}/dictionary")
     sums = written.groupBy("field").agg(F.sum("tf").alias("total"))
@@ -108,7 +183,10 @@ def _store(files: DataFrame, postings: DataFrame, path: str, partitions: int | N
 
 def write_index(files: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store files and postings as a new index."""
-    _store(files, Index(files).postings, path, partitions)
+    spark = files.sparkSession
+    files.write.parquet(f"{path}/files")
+    _write_segments(Index(spark.read.parquet(f"{path}/files")), f"{path}/postings", partitions)
+    _summed(spark, path)
 
 
 def changes(spark: SparkSession, path: str) -> list[int]:
@@ -135,10 +213,10 @@ def update_index(spark: SparkSession, path: str, rows: DataFrame, gone: DataFram
     paths = new.select("path") if gone is None else new.select("path").union(gone.select("path")).distinct()
     now.join(paths, "path", "left_semi").write.mode("overwrite").parquet(f"{base}/dead")
     dead = spark.read.parquet(f"{base}/dead")
-    _sorted(Index(new).postings, ("field", "term", "file_id")).write.mode("overwrite").parquet(f"{base}/postings")
+    _write_segments(Index(new), f"{base}/postings")
     came = spark.read.parquet(f"{base}/postings").select("field", "term", "tf", F.lit(1).alias("sign"))
     left = Index(dead).counts().select("field", "term", "tf", F.lit(-1).alias("sign"))
-    both = came.unionByName(left.withColumn("tf", F.col("tf").cast("int")))
+    both = came.unionByName(left)
     moved = both.groupBy("field", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("total"))
     moved.write.mode("overwrite").parquet(f"{base}/moved")
     moved = spark.read.parquet(f"{base}/moved")
@@ -150,7 +228,9 @@ def update_index(spark: SparkSession, path: str, rows: DataFrame, gone: DataFram
 def compact(spark: SparkSession, path: str, target: str, partitions: int | None = None) -> None:
     """Write an index with its changes as a new base in another folder; no text is analysed again."""
     index = open_index(spark, path)
-    _store(index.files, index.postings, target, partitions)
+    index.files.write.parquet(f"{target}/files")
+    _sorted(index.postings, ORDER, partitions).write.parquet(f"{target}/postings")
+    _summed(spark, target)
 
 
 def move_index(spark: SparkSession, path: str, target: str) -> None:

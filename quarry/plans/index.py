@@ -175,8 +175,11 @@ def _write_segments(index: Index, path: str, partitions: int | None = None) -> N
 def _summed(spark: SparkSession, path: str) -> None:
     """Dictionary, statistics and version of a new base, from its written files and postings: texts are analysed once."""
     written = spark.read.parquet(f"{path}/postings")
-    _sorted(written.groupBy("field", "term").agg(F.count("*").alias("df")), ("field", "term")).write.parquet(f"{path}/dictionary")
-    sums = written.groupBy("field").agg(F.sum("tf").alias("total"))
+    # postings are read once: ranges are drawn, and the dictionary and the statistics made, from the sums
+    written.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).write.parquet(f"{path}/moved")
+    moved = spark.read.parquet(f"{path}/moved")
+    _sorted(moved.select("field", "term", "df"), ("field", "term")).write.parquet(f"{path}/dictionary")
+    sums = moved.groupBy("field").agg(F.sum("total").alias("total"))
     _totals(spark, spark.read.parquet(f"{path}/files").count(), sums).write.parquet(f"{path}/stats")
     spark.createDataFrame([(VERSION,)], "version string").write.parquet(f"{path}/version")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.plans import index as module
-from quarry.plans.index import Index, open_index, posted, tokens, write_index
+from quarry.plans.index import Index, compact, open_index, posted, tokens, update_index, write_index
 
 FILES = "file_id long, name string, dir_text string, content string"
 
@@ -56,3 +56,15 @@ def test_postings_of_many_chunks(spark, monkeypatch):
     parts = list(module._grouped(schema)(iter([b.slice(1) for b in data] + [b.slice(0, 1) for b in data])))
     key = lambda r: repr(sorted(r.items()))
     assert sorted(pa.Table.from_batches(parts).to_pylist(), key=key) == sorted(whole, key=key) and max(len(p) for p in parts) == 3
+
+
+def test_sums_of_a_base_are_made_in_one_pass(spark, tmp_path):
+    old, new = (texts(spark, ids).withColumn("path", F.col("name")) for ids in (range(60), range(30, 70)))
+    write_index(old, str(tmp_path / "i"))
+    update_index(spark, str(tmp_path / "i"), new.where("file_id >= 45"), old.where("file_id < 10").select("path"))
+    compact(spark, str(tmp_path / "i"), str(tmp_path / "c"))
+    for base in ("i", "c"):
+        found, files = open_index(spark, str(tmp_path / base)), old.where("file_id BETWEEN 10 AND 44").unionByName(new.where("file_id >= 45"))
+        assert rows(found.postings) == rows(plain(files)) and found.stats == Index(files).stats
+        assert sorted(map(tuple, found.dictionary.collect())) == sorted(map(tuple, plain(files).groupBy("field", "term").count().collect()))
+        assert spark.read.parquet(str(tmp_path / base / "moved")).columns == ["field", "term", "df", "total"]
